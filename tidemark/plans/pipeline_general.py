@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.asof import attributes_as_of
 from ..operators.history import attribute_history
 from ..operators.rolling import rolling_totals
+from ..operators.spikes import implausible_readings
 from ..operators.snapshot_diff import plain_hash, plain_session, plain_symbol, snapshot_changes
 from ..session import epoch_seconds, iso, table
 
@@ -60,7 +61,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(attempts)
 
 
-QUERIES = {f.__name__: f for f in (p1_totals, p1_found, p2_as_of, p2_found, p3_history, p3_found, p4_found)}
+def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible_readings(table(spark, sf_dir, "observations"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible_readings(table(spark, sf_dir, "observations")).select("series_id", iso(F.col("session_date")).alias("session_date"))
+
+
+QUERIES = {f.__name__: f for f in (p1_totals, p1_found, p2_as_of, p2_found, p3_history, p3_found, p4_found, p5_flags, p5_found)}
 
 _P1 = """
 with last as (
