@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..session import epoch_seconds, require_columns
 
 #: Days of age at which a new time bucket begins; the last is open.
-AGE_EDGES = (8, 64, 512, 4096)
+AGE_EDGES = (16, 128, 1024)
 
 
 def age_bucket(at: Column, anchor: Column, edges: Sequence[int] = AGE_EDGES) -> Column:
@@ -29,16 +29,18 @@ def validity_intervals(
     """Half-open periods [valid_from, valid_to) in which each fact was the latest known of its key.
 
     Facts that became known at the same moment are settled by the greatest tie_break; a null `known`
-    was never known. Copies collapse in the map-side part of the first aggregate. `only` restricts the
-    keys; it is applied behind that aggregate, so a point that holds most of the rows is no hot task.
+    was never known. `only` restricts the keys by a semi-join, whose hot partitions AQE splits; behind it
+    copies collapse on the map side of an aggregate, so a key that holds most of the rows is no hot task.
     """
-    best = F.max(F.struct(*tie_break, *[c for c in payload if c not in tie_break])).alias("best")
-    changes = facts.where(F.col(known).isNotNull()).groupBy(*keys, F.col(known).alias("valid_from")).agg(best)
+    rows = facts.where(F.col(known).isNotNull())
     if only is not None:
-        changes = changes.join(only, list(keys), "left_semi")
-    nxt = F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("valid_from"))
+        rows = rows.join(only, list(keys), "left_semi")
+    best = F.max(F.struct(*tie_break, *[c for c in payload if c not in tie_break])).alias("best")
+    # the struct key keeps the aggregate from taking over the join's partitioning, which would skip its map side
+    changes = rows.groupBy(F.struct(*keys).alias("key"), F.col(known).alias("valid_from")).agg(best)
+    nxt = F.lead("valid_from").over(Window.partitionBy("key").orderBy("valid_from"))
     return changes.withColumn("valid_to", nxt).select(
-        *keys, "valid_from", "valid_to", *[F.col(f"best.{c}").alias(c) for c in payload]
+        *[F.col(f"key.{c}").alias(c) for c in keys], "valid_from", "valid_to", *[F.col(f"best.{c}").alias(c) for c in payload]
     )
 
 
