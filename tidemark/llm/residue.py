@@ -75,6 +75,7 @@ _MENU = r"^(?:[a-z]+ (?:\| [a-z]+ ?)+(?:in )?)?"
 ERROR = (
     rf"{_MENU}(?:#+ )?(?:error |fehler |http status |http/0 |status )?0 ?(?:[-–:] )?\(?{_REASON}\)?{_AFTER}",
     rf"{_MENU}(?:error |http status |http/0 )0\b ?(?:[-–:] )?\(?{_REASON}",
+    rf"{_MENU}{_REASON}[.!]?$",
     rf"^reason: {_REASON}",
     r"<title>0\b",
     r"^(?:the )?requested (?:file|page|url|resource|document) was not found\b",
@@ -96,7 +97,7 @@ ERROR = (
     r"error 0.{0,4}p.{1,3}gina no encontrada|^el servicio no est.{1,3} disponible|^acceso denegado[.!]|^su sesi.{1,3}n ha (?:caducado|expirado)",
 )
 #: Such short lines are an error page's only where the same line recurs in several documents.
-ERROR_IF_RECURRING = (rf"{_MENU}{_REASON}[.!]?$", rf"{_MENU}access denied[.!]?")
+ERROR_IF_RECURRING = (rf"{_MENU}access denied[.!]?(?:$| )", r"^(?:the )?(?:connection|request) (?:was|has been) (?:reset|denied|refused|blocked)", r"^access to this (?:page|site|report) (?:is|has been) denied")
 _SWITCH = r"(?:enable|turn on|switch on|activate|allow|unblock|permit)"
 _SCRIPTS = r"(?:(?:(?:client.{1,3}side |active )?(?:javascript|js|scripts?|scripting|cookies)\b)(?: and |, )?)+"
 SCRIPT = (
