@@ -251,7 +251,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per type and hour, with the value's spread."""
     rows = table(spark, sf_dir, "events")
     cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
-    return rows.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), cents.alias("cents"), F.countDistinct("user_id").alias("users"))
+    return rows.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), cents.alias("cents"), F.countDistinct("user_id").alias("users"))
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -452,8 +452,8 @@ ORACLE = {
     "wilder_average": f"{G}, {_fold_sql(14, '(f.level * 13 + b.x) / 14')} select k as series_id, i as idx, round(level, 6) as wilder from f",
     "wilder_atr": f"""with recursive {WIDE}, {BARS}, {_fold_sql(14, "(f.level * 13 + b.x) / 14", "tr", "symbol", "n", "tr")}
       select k as symbol, tr.session_date, round(level, 6) as atr, round(case when tr.close <> 0 then level / tr.close end, 6) as atr_share from f join tr on tr.symbol = f.k and tr.n = f.i""",
-    "nearest_curve": f"with {CURVE} select series_id, session_date, place, contract_id, settle, round(days, 6) as days from near",
-    "curve_completeness": f"with {CURVE} select series_id, session_date, n as n_contracts, complete, formal, case when complete then {_inv(1, 6)} / 5 end as inversion_share from cc",
+    "nearest_curve": f"with {CURVE} select series_id, session_date, place::int as place, contract_id, settle, round(days, 6) as days from near",
+    "curve_completeness": f"with {CURVE} select series_id, session_date, n::int as n_contracts, complete, formal, case when complete then {_inv(1, 6)} / 5 end as inversion_share from cc",
     "curve_slopes": f"""with {CURVE} select series_id, session_date, case when s[1] > 0 and s[2] > 0 then round(s[2] / s[1] - 1, 7) end as ts12,
       case when s[1] > 0 and s[2] > 0 then round(ln(s[2] / s[1]) * 30 / (d[2] - d[1]), 7) end as front_slope30,
       case when formal then round((s[1] + s[2]) / 2, 7) end as front_level, case when formal then round((s[4] + s[5] + s[6] + s[7]) / 4, 7) end as mid_level,
@@ -462,7 +462,7 @@ ORACLE = {
     "constant_maturity": f"with {CURVE} select series_id, session_date, case when formal then round({_brackets()[0]}, 7) end as value30, case when formal then {_brackets()[1]} else 'UNAVAILABLE' end as value30_kind from cc",
     "forward_variances": f"""with {CURVE}, n2 as (select *, lead(settle) over w as s2, lead(days) over w as d2 from near window w as (partition by series_id, session_date order by place)),
       v as (select *, (d2 / 365 * pow(s2 / 100, 2) - days / 365 * pow(settle / 100, 2)) / (d2 / 365 - days / 365) as fvar from n2 where s2 is not null)
-      select series_id, session_date, place, round(fvar, 9) as fvar, case when fvar >= 0 then round(sqrt(fvar) * 100, 6) end as fvol from v""",
+      select series_id, session_date, place::int as place, round(fvar, 9) as fvar, case when fvar >= 0 then round(sqrt(fvar) * 100, 6) end as fvol from v""",
     "weighted_scores": f"{S} select series_id, session_date, round(shock, 9) as shock, round(carry, 9) as carry, confirmations, hard_acute, status from st where shock is not null",
     "score_buckets": f"""{S}, c as (select *, shock - lag(shock, 5) over w as ch from st {W_SQL})
       select series_id, session_date, case when shock < 35 then 'CALM' when shock < 55 then 'NORMAL' when shock < 70 then 'ELEVATED' when shock < 85 then 'HIGH' else 'EXTREME' end as level,
