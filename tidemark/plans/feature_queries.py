@@ -203,7 +203,7 @@ def forward_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = along(["series_id", "session_date"], ["place"])
     var = forward_variance(F.col("settle"), F.col("days"), F.lead("settle").over(w), F.lead("days").over(w))
     rows = rows.withColumn("fvar", var).where("fvar is not null")
-    return rows.select("series_id", "session_date", "place", F.round("fvar", 9).alias("fvar"), F.round(forward_volatility(F.col("fvar")), 6).alias("fvol"))
+    return rows.select("series_id", "session_date", "place", F.round("fvar", 12).alias("fvar"), F.round(forward_volatility(F.col("fvar")), 6).alias("fvol"))
 
 
 def state_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +369,8 @@ CURVE = """near as (
       select v.series_id, v.session_date, v.final_settlement_timestamp, v.contract_id, v.contract_year, v.contract_month,
         case when isnan(v.settle) then null else v.settle end as settle, v.vintage_kind, s.observed_at as observed
       from vx_contracts v join exchange_sessions s using (session_date) where v.available_at <= s.decision_at and v.is_standard_monthly
-      qualify row_number() over (partition by v.series_id, v.session_date, v.final_settlement_timestamp, v.contract_id order by v.available_at desc, v.ingested_at desc, v.revision_id desc) = 1)
+      qualify row_number() over (partition by v.series_id, v.session_date, v.final_settlement_timestamp, v.contract_id order by v.available_at desc, v.ingested_at desc, v.revision_id desc,
+        v.contract_year desc, v.contract_month desc, v.settle desc nulls last, v.vintage_kind desc) = 1)
     where settle is not null and final_settlement_timestamp > observed - interval 15 minute
     qualify row_number() over (partition by series_id, session_date, final_settlement_timestamp order by contract_id desc) = 1)
   qualify row_number() over (partition by series_id, session_date order by final_settlement_timestamp) <= 7),
@@ -462,7 +463,7 @@ ORACLE = {
     "constant_maturity": f"with {CURVE} select series_id, session_date, case when formal then round({_brackets()[0]}, 7) end as value30, case when formal then {_brackets()[1]} else 'UNAVAILABLE' end as value30_kind from cc",
     "forward_variances": f"""with {CURVE}, n2 as (select *, lead(settle) over w as s2, lead(days) over w as d2 from near window w as (partition by series_id, session_date order by place)),
       v as (select *, (d2 / 365 * pow(s2 / 100, 2) - days / 365 * pow(settle / 100, 2)) / (d2 / 365 - days / 365) as fvar from n2 where s2 is not null)
-      select series_id, session_date, place::int as place, round(fvar, 9) as fvar, case when fvar >= 0 then round(sqrt(fvar) * 100, 6) end as fvol from v""",
+      select series_id, session_date, place::int as place, round(fvar, 12) as fvar, case when fvar >= 0 then round(sqrt(fvar) * 100, 6) end as fvol from v""",
     "weighted_scores": f"{S} select series_id, session_date, round(shock, 9) as shock, round(carry, 9) as carry, confirmations, hard_acute, status from st where shock is not null",
     "score_buckets": f"""{S}, c as (select *, shock - lag(shock, 5) over w as ch from st {W_SQL})
       select series_id, session_date, case when shock < 35 then 'CALM' when shock < 55 then 'NORMAL' when shock < 70 then 'ELEVATED' when shock < 85 then 'HIGH' else 'EXTREME' end as level,
