@@ -38,7 +38,7 @@ SLOT = (
     r"[〔(](?:请|此处)填写[^〕)]{0,20}[〕)]",
     r"【[一-鿿]{1,8}】",
     r"(?<=[^ #] )####(?![#a-z0-9])",
-    r"<!-.{1,3} [^<>]{0,40}\$[a-z_]{3,}",
+    r"<!.{1,6} [^<>]{0,40}\$[a-z_]{3,}",
 )
 # The words of the usual filler Latin.
 LATIN = (
@@ -93,8 +93,8 @@ ERROR = (
     r"^database connection failed",
     r"traceback \(most recent call last\)",
     r"您没有权限访问(?:该|此|本)?页面|^会话已过期|页面(?:不存在|未找到)|^系统繁忙|服务器内部错误",
-    r"^zugriff verweigert[.!]|^(?:ihre )?sitzung ist abgelaufen|fehler 0.{0,4}seite nicht gefunden|^der dienst ist vor.{1,4}bergehend nicht erreichbar",
-    r"error 0.{0,4}p.{1,3}gina no encontrada|^el servicio no est.{1,3} disponible|^acceso denegado[.!]|^su sesi.{1,3}n ha (?:caducado|expirado)",
+    r"^zugriff verweigert[.!]|^(?:ihre )?sitzung ist abgelaufen|fehler 0.{0,6}seite nicht gefunden|^der dienst ist vor.{1,4}bergehend nicht erreichbar",
+    r"error 0.{0,6}p.{1,3}gina no encontrada|^el servicio no est.{1,3} disponible|^acceso denegado[.!]|^su sesi.{1,3}n ha (?:caducado|expirado)",
 )
 #: Such short lines are an error page's only where the same line recurs in several documents.
 ERROR_IF_RECURRING = (rf"{_MENU}access denied[.!]?(?:$| )", r"^(?:the )?(?:connection|request) (?:was|has been) (?:reset|denied|refused|blocked)", r"^access to this (?:page|site|report) (?:is|has been) denied")
@@ -113,7 +113,7 @@ SCRIPT = (
 
 #: Every rule needs one of these in a message; only messages that hold one are masked, grouped and classified.
 SIGNS = (
-    "{ %( @@ <% here> <your << « [[ [insert [tbd [todo __ x.x x:x ×× 填写 【 <!- lorem blindtext platzhalter beispieltext "
+    "{ %( @@ <% here> <your << « [[ [insert [tbd [todo __ x.x x:x ×× 填写 【 <! lorem blindtext platzhalter beispieltext "
     "排版测试 示例文字 占位 http/ unauthorized forbidden requests gateway unavailable <title> permission denied maintenance "
     "traceback <error> 权限访问 会话已过期 页面 系统繁忙 服务器 verweigert abgelaufen erreichbar gefunden encontrada "
     "denegado caducado expirado script cookies 脚本 您的浏览器 skript"
