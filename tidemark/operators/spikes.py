@@ -50,11 +50,21 @@ def _median_of(columns: list[np.ndarray], present: list[np.ndarray]) -> np.ndarr
         return np.where(n > 0, (grid[row, low] + grid[row, high]) / 2, np.nan)
 
 
+def _return_trip(outside, first, last, back, a, b) -> np.ndarray:
+    """Height of an excursion from `outside` to `first` and from `last` back to `back`: the smaller of the two
+    steps if they oppose each other and what lies between, and between the two ends, is less than half of it."""
+    out, home = first - outside, last - back
+    height = np.where(out * home > 0, np.minimum(np.abs(out), np.abs(home)), 0.0)
+    return np.where((np.abs(outside - back) < height / 2) & (np.abs(a - b) < height / 2), height, 0.0)
+
+
 def excursions(group: np.ndarray, day: np.ndarray, x: np.ndarray, rule: NormalBehaviour) -> tuple[np.ndarray, np.ndarray]:
     """(distance beyond both sides' medians, passes the Hampel filter) for each reading.
 
     The distance is 0 unless the reading lies on the same side of the median before it and the median
     after it, so a lasting move, where one side agrees, has none; without readings on both sides it is 0.
+    One or two readings that leave and come back at once lie as far off as the smaller of the two steps, even
+    where the series itself is on the move.
     """
     n, sides = len(x), {}
     for sign in (-1, 1):
@@ -74,6 +84,10 @@ def excursions(group: np.ndarray, day: np.ndarray, x: np.ndarray, rule: NormalBe
     with np.errstate(invalid="ignore"):
         same = (x - before) * (x - after) > 0
         distance = np.where(same, np.minimum(np.abs(x - before), np.abs(x - after)), 0.0)
+        (b1, b2, *_), (a1, a2, *_) = (([np.where(p, c, np.nan) for c, p in zip(*sides[s], strict=True)]) for s in (-1, 1))
+        for enter, leave, inner in (((b1, x), (x, a1), (x, x)), ((b1, x), (a1, a2), (x, a1)), ((b2, b1), (x, a1), (b1, x))):
+            height = _return_trip(*enter, *leave, *inner)
+            distance = np.fmax(distance, height)
         return distance, np.abs(x - centre) > rule.hampel * 1.4826 * mad
 
 
