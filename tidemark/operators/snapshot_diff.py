@@ -95,7 +95,8 @@ def snapshot_changes(
     ks = [F.col(f"key{i}") for i in range(len(keys))]
     named = named.withColumns({"k1": F.xxhash64(*ks), "k2": F.xxhash64(F.lit("second"), *reversed(ks))})
     row = F.when(F.col("content").isNull(), F.lit(NO_HASH)).otherwise(F.xxhash64("content"))
-    held = named.groupBy("snap", "k1", "k2").agg(F.max_by(row, "latest").alias("row"))
+    rank = F.coalesce(F.col("latest").cast("bigint"), F.lit(-(1 << 63)))  # a row without a number counts only where there is no other
+    held = named.groupBy("snap", "k1", "k2").agg(F.max_by(row, rank).alias("row"))
     order = sorted(r[0] for r in named.select("snap").distinct().collect())  # one number per snapshot
     buckets = max(1, -(-attempts.count() // rows_per_bucket))
     edges = np.array(order, dtype=np.int64)
