@@ -356,10 +356,25 @@ def _rank_sql(source: str, column: str, window: int, least: int, signature: str
 
 
 # the segment's seed row holds the mean of its first n values; later rows follow it one by one
-def _fold_sql(n: int, step: str, source: str = "g", key: str = "series_id", idx: str = "idx", x: str = "value") -> str:
-    return f"""a as (select {key} as k, {idx} as i, {x} as x, sum(case when {x} is null then 1 else 0 end) over (partition by {key} order by {idx}) as s from {source}),
-    b as (select k, i, x, row_number() over (partition by k, s order by i) as pos, avg(x) over (partition by k, s order by i rows between {n - 1} preceding and current row) as seed from a where x is not null),
-    f as (select k, i, pos, seed as level from b where pos = {n} union all select b.k, b.i, b.pos, {step} from f join b on b.k = f.k and b.i = f.i + 1 and b.pos = f.pos + 1)"""
+def _fold_sql(n: int, step: str, source: str = "g", key: str = "series_id", idx: str = "idx", x: str = "value", p: str = "") -> str:
+    a, b, f = f"{p}a", f"{p}b", f"{p}f"
+    step = step.replace("b.", f"{b}.").replace("f.", f"{f}.")
+    return f"""{a} as (select {key} as k, {idx} as i, {x} as x, sum(case when {x} is null then 1 else 0 end) over (partition by {key} order by {idx}) as s from {source}),
+    {b} as materialized (select k, i, x, row_number() over (partition by k, s order by i) as pos, avg(x) over (partition by k, s order by i rows between {n - 1} preceding and current row) as seed from {a} where x is not null),
+    {f} as (select k, i, pos, seed as level from {b} where pos = {n} union all select {b}.k, {b}.i, {b}.pos, {step} from {f} join {b} on {b}.k = {f}.k and {b}.i = {f}.i + 1 and {b}.pos = {f}.pos + 1)"""
+
+
+def _ema_sql(n: int, source: str = "g", p: str = "") -> str:
+    w = 2 / (n + 1)
+    return _fold_sql(n, f"{w!r} * b.x + (1 - {w!r}) * f.level", source, p=p)
+
+
+def _wilder_sql(n: int, x: str, p: str) -> str:
+    return _fold_sql(n, f"(f.level * {n - 1} + b.x) / {n}", "mv", x=x, p=p)
+
+
+MOVES = """mv as (select series_id, idx, value, value - lag(value) over w as d, greatest(value - lag(value) over w, 0.0) as up, greatest(lag(value) over w - value, 0.0) as down,
+  abs(value - lag(value) over w) as size from g window w as (partition by series_id order by idx))"""
 
 
 CURVE = """near as (
@@ -434,7 +449,6 @@ WIDE = """wide as (select o_orderpriority as symbol, o_orderdate::date as sessio
   min(o_totalprice) as low, arg_max(o_totalprice, o_orderkey) as close from orders group by all)"""
 TR_SQL = "case when high is not null and low is not null and close is not null then greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) end"
 BARS = f"tr as (select symbol, session_date, close, {TR_SQL} as tr, row_number() over w as n from wide window w as (partition by symbol order by session_date))"
-UP = 2 / 21
 ORACLE = {
     "log_changes": f"{G} select series_id, session_date, {', '.join(LN.format(k=k) for k in (1, 5, 10))} from g {W_SQL}",
     "level_changes": f"{G} select series_id, session_date, {', '.join(f'round(value - lag(value, {k}) over w, 6) as d_{k}' for k in (1, 5, 20))} from g {W_SQL}",
@@ -449,10 +463,24 @@ ORACLE = {
         else 100 * (value - min(value) over a) / (max(value) over a - min(value) over a) end end as k from g window a as (partition by series_id order by idx rows between 13 preceding and current row)),
       d as (select *, case when count(k) over b = 3 then avg(k) over b end as d from k window b as (partition by series_id order by idx rows between 2 preceding and current row))
       select series_id, session_date, round(k, 6) as k, round(d, 6) as d from d where k is not null""",
-    "seeded_ema": f"{G}, {_fold_sql(20, f'{UP!r} * b.x + (1 - {UP!r}) * f.level')} select k as series_id, i as idx, round(level, 6) as ema from f",
+    "seeded_ema": f"{G}, {_ema_sql(20)} select k as series_id, i as idx, round(level, 6) as ema from f",
     "wilder_average": f"{G}, {_fold_sql(14, '(f.level * 13 + b.x) / 14')} select k as series_id, i as idx, round(level, 6) as wilder from f",
     "wilder_atr": f"""with recursive {WIDE}, {BARS}, {_fold_sql(14, "(f.level * 13 + b.x) / 14", "tr", "symbol", "n", "tr")}
       select k as symbol, tr.session_date, round(level, 6) as atr, round(case when tr.close <> 0 then level / tr.close end, 6) as atr_share from f join tr on tr.symbol = f.k and tr.n = f.i""",
+    "rsi14": f"""{G}, {MOVES}, {_wilder_sql(14, "case when d is not null then up end", "u")}, {_wilder_sql(14, "case when d is not null then down end", "l")}
+      select uf.k as series_id, uf.i as idx, round(case when lf.level = 0 then case when uf.level = 0 then 50.0 else 100.0 end else 100 - 100 / (1 + uf.level / lf.level) end, 6) as rsi from uf join lf on uf.k = lf.k and uf.i = lf.i""",
+    "macd": f"""{G}, {_ema_sql(12, p="q")}, {_ema_sql(26, p="t")}, ln as (select g.series_id, g.idx, qf.level - tf.level as value from g left join qf on qf.k = g.series_id and qf.i = g.idx left join tf on tf.k = g.series_id and tf.i = g.idx),
+      {_ema_sql(9, "ln", "z")} select ln.series_id, ln.idx, round(ln.value, 6) as line, round(zf.level, 6) as signal from ln left join zf on zf.k = ln.series_id and zf.i = ln.idx where ln.value is not null""",
+    "cash_oscillator": f"""{G}, {MOVES}, {_ema_sql(5, p="q")}, {_ema_sql(20, p="t")}, {_wilder_sql(14, "size", "w")},
+      o as (select g.series_id, g.idx, case when tf.level is not null and wf.level is not null then case when wf.level = 0 then 0.0 else (g.value - tf.level) / wf.level end end as oscillator,
+        case when tf.level <> 0 then qf.level / tf.level - 1 end as trend from g left join qf on qf.k = g.series_id and qf.i = g.idx left join tf on tf.k = g.series_id and tf.i = g.idx left join wf on wf.k = g.series_id and wf.i = g.idx)
+      select series_id, idx, round(oscillator, 6) as oscillator, round(trend, 6) as trend from o where oscillator is not null or trend is not null""",
+    "ewma_variance": f"""{G}, r0 as (select series_id as k, idx as i, value, case when value > 0 then ln(value) end - lag(case when value > 0 then ln(value) end) over (partition by series_id order by idx) as r from g),
+      r1 as (select *, sum(case when r is null then 1 else 0 end) over (partition by k order by i) as s from r0),
+      r2 as (select *, row_number() over (partition by k, s order by i) as pos, var_samp(r) over (partition by k, s order by i rows between 251 preceding and current row) as v from r1 where r is not null),
+      r3 as (select k, min(i) as i0 from r2 where pos = 252 group by k), r4 as materialized (select r2.*, row_number() over (partition by r2.k order by r2.i) as n from r2 join r3 using (k) where r2.i >= r3.i0),
+      e as (select k, i, n, value, v as level from r4 where n = 1 union all select r4.k, r4.i, r4.n, r4.value, 0.94 * e.level + (1 - 0.94) * r4.r * r4.r from e join r4 on r4.k = e.k and r4.n = e.n + 1)
+      select k as series_id, i as idx, round(level, 9) as variance, round(pow(value / 100, 2) - 252 * level, 6) as premium from e""",
     "nearest_curve": f"with {CURVE} select series_id, session_date, place::int as place, contract_id, settle, round(days, 6) as days from near",
     "curve_completeness": f"with {CURVE} select series_id, session_date, n::int as n_contracts, complete, formal, case when complete then {_inv(1, 6)} / 5 end as inversion_share from cc",
     "curve_slopes": f"""with {CURVE} select series_id, session_date, case when s[1] > 0 and s[2] > 0 then round(s[2] / s[1] - 1, 7) end as ts12,
