@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import require_columns, shared_dir
 from .events import known_by, outcome_sequence
 
 
 @dataclass(frozen=True)
 class FitRules:
-    """How much history a fit may see and needs."""
+    """How much history a fit may see and needs; `purge` is in sessions, for `sequential_walk_forward` only."""
 
     most: int = 1500
     least: int = 252
@@ -23,6 +25,7 @@ class FitRules:
     calibration_most: int = 252
     calibration_each: int = 20
     strength: float = 1.0
+    purge: int = 20
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0, tolerance: float = 1e-10, steps: int = 100) -> np.ndarray | None:
@@ -78,7 +81,8 @@ def walk_forward(ledger: DataFrame, features: Sequence[str], rules: FitRules = F
     Once per event and `refit` period a model is fitted to the last `most` outcomes with features that were
     known when the period began, and scores the period's predictions; never one that became known later.
     The intercept is moved so that the fit's latest `calibration_most` outcomes come out right on average.
-    Too little history of either class leaves null. Fits get their rows by an equi-join on (event, cell of the
+    That is a cheaper schedule than one fit per decision, without a purge, and the intercept is fitted in sample;
+    `sequential_walk_forward` does neither. Too little history of either class leaves null. Fits get their rows by an equi-join on (event, cell of the
     outcome's number), at most twice `most` rows each, so neither time nor data grows a single fit.
     """
     names = list(features)
@@ -116,6 +120,112 @@ def walk_forward(ledger: DataFrame, features: Sequence[str], rules: FitRules = F
     return scored.select(F.col("k").alias("event_id"), "prediction_id", F.col("t").alias("fitted_at"), "n", "positive", raw.alias("raw_probability"), F.col("shift").alias("intercept"), moved.alias("probability"))
 
 
+def _by_cohort(asks: DataFrame, outcomes: DataFrame, most: int, lag: int, run: Callable[[pd.DataFrame, pd.DataFrame, Callable[[int, np.datetime64], np.ndarray]], pd.DataFrame], schema: str) -> DataFrame:
+    """`run(asks, history, pick)` over groups of the asks (k, session, t, ...); pick(n, t) gives the rows of an ask's
+    cohort in `history`: the last `most` outcomes (k, session, id, known, ...) in the order of (session, id) whose
+    session lies at least `lag` before the ask's and which were known at t.
+
+    Outcomes are numbered and cut into cells of `most`. An ask needs the cell of its last outcome and those back
+    to one that was known as a whole by t, which is nearly always the cell before; so a group, the asks of
+    one cell, holds about twice `most` outcomes, and time and data grow with the rows only.
+    """
+    inside = Window.partitionBy("k", "session").orderBy("id")
+    upto = Window.partitionBy("k").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = outcomes.groupBy("k", "session").agg(F.count("*").alias("c"))
+    numbered = outcomes.join(sizes.withColumn("before", F.sum("c").over(upto) - F.col("c")).drop("c"), ["k", "session"])
+    numbered = numbered.withColumn("seq", F.row_number().over(inside) + F.col("before")).drop("before")
+    history = numbered.withColumn("cell", F.floor((F.col("seq") - 1) / most))
+
+    line = sizes.unionByName(asks.select("k", (F.col("session") - lag).alias("session"), F.lit(0).cast("bigint").alias("c")).distinct())
+    line = line.groupBy("k", "session").agg(F.sum("c").alias("c")).select("k", (F.col("session") + lag).alias("session"), F.sum("c").over(upto).alias("last"))
+    asked = asks.join(line, ["k", "session"]).where(F.col("last") > 0).withColumn("top", F.floor((F.col("last") - 1) / most))
+
+    cells = history.groupBy("k", "cell").agg(F.max("known").alias("whole"))
+    so_far = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    filled = cells.select("k", F.max("whole").over(so_far).alias("t"), (F.col("cell") + 1).alias("seq"))
+    full = known_by(asks.select("k", "t").distinct(), filled).withColumnRenamed("n", "full")
+    before = cells.select("k", (F.col("cell") + 1).alias("top"), "whole")
+    asked = asked.join(full, ["k", "t"]).join(before, ["k", "top"], "left")
+    low = F.when(F.col("whole") <= F.col("t"), F.col("top") - 1).otherwise(F.greatest(F.least(F.col("top"), "full") - 1, F.lit(0)))
+    asked = asked.withColumn("low", low).drop("full", "whole")
+    reach = asked.select("k", "low", "top").distinct().withColumn("cell", F.explode(F.sequence("low", "top")))
+    parts = reach.join(history, ["k", "cell"]).withColumnsRenamed({"k": "of_k", "low": "of_low", "top": "of_top"})
+
+    def group(ask: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
+        past = past.sort_values("seq").reset_index(drop=True)
+        seq, known = past["seq"].to_numpy(), past["known"].to_numpy()
+        return run(ask, past, lambda last, t: np.flatnonzero(known[: np.searchsorted(seq, last, "right")] <= t)[-most:])
+
+    return asked.groupBy("k", "low", "top").cogroup(parts.groupBy("of_k", "of_low", "of_top")).applyInPandas(group, schema)
+
+
+def sequential_walk_forward(ledger: DataFrame, features: Sequence[str], rules: FitRules = FitRules(), session: str = "session") -> DataFrame:
+    """(event_id, prediction_id, fitted_at, n, positive, raw_probability, calibration_n, calibration_positive, intercept, probability).
+
+    Give one row a prediction. Every eligible one is scored by a model of its own decision: fitted to the last `most` outcomes of
+    its event that have features, were known at decision_at, and whose prediction lies at least `purge` sessions
+    back (`session` is the number of the prediction's session). Its intercept is fitted to the raw
+    probabilities which the last `calibration_most` predictions of earlier sessions got from *their* models, as far as
+    their outcomes were known at decision_at; with fewer than `calibration_each` of either class it is null and the raw
+    probability stands. Predictions without features or without a model (too little history, no
+    convergence) are left out. Decisions that see the same outcomes share a fit.
+
+    The predictions and the raw probabilities are written once each to the shared folder.
+    """
+    names = list(features)
+    require_columns(ledger, "event_id", "prediction_id", "decision_at", "outcome_available_at", "label", "event_status", session, *names)
+    shared_dir(ledger.sparkSession)
+    usable = F.col("event_id").isNotNull() & F.col(session).isNotNull()
+    for c in names:
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(c)
+    as_feature = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]
+    rows = ledger.where(usable).select(
+        F.col("event_id").alias("k"), F.col(session).cast("bigint").alias("session"), F.col("prediction_id").alias("id"), F.col("decision_at").alias("t"),
+        F.col("outcome_available_at").alias("known"), F.col("label").cast("bigint").alias("y"), (F.col("event_status") == "ELIGIBLE").alias("eligible"), *as_feature,
+    ).checkpoint()
+    xs = [f"x{i}" for i in range(len(names))]
+    done = F.col("y").isNotNull() & F.col("known").isNotNull()
+    asks = rows.where(F.col("eligible") & F.col("t").isNotNull()).select("k", "session", "id", "t", "known", "y", *xs)
+
+    def score(ask: pd.DataFrame, past: pd.DataFrame, pick: Callable) -> pd.DataFrame:
+        x, y, own = past[xs].to_numpy(float), past["y"].to_numpy(float), ask[xs].to_numpy(float)
+        fits, n, positive, raw = {}, np.zeros(len(ask), int), np.zeros(len(ask), int), np.full(len(ask), np.nan)
+        for i, (last, t) in enumerate(zip(ask["last"].to_numpy(), ask["t"].to_numpy(), strict=True)):
+            at = pick(last, t)
+            if (seen := at.tobytes()) not in fits:
+                yes = int(y[at].sum())
+                enough = len(at) >= rules.least and min(yes, len(at) - yes) >= rules.least_each
+                fits[seen] = yes, fit_logistic(x[at], y[at], rules.strength) if enough else None
+            n[i], (positive[i], weights) = len(at), fits[seen]
+            if weights is not None:
+                raw[i] = predict(weights, own[i : i + 1])[0]
+        return ask[["k", "session", "id", "t", "known", "y"]].assign(n=n, positive=positive, raw=raw).dropna(subset=["raw"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    moment = rows.schema["t"].dataType.simpleString()
+    head = f"k string, session bigint, id {kind}, t {moment}, "
+    raw = _by_cohort(asks, rows.where(done).select("k", "session", "id", "known", "y", *xs), rules.most, max(rules.purge, 1), score, head + "known timestamp_ntz, y bigint, n bigint, positive bigint, raw double").checkpoint()
+
+    def calibrate(ask: pd.DataFrame, past: pd.DataFrame, pick: Callable) -> pd.DataFrame:
+        p, y = past["raw"].to_numpy(float), past["y"].to_numpy(float)
+        fits, n, positive, shift = {}, np.zeros(len(ask), int), np.zeros(len(ask), int), np.full(len(ask), np.nan)
+        for i, (last, t) in enumerate(zip(ask["last"].to_numpy(), ask["t"].to_numpy(), strict=True)):
+            at = pick(last, t)
+            if (seen := at.tobytes()) not in fits:
+                yes = int(y[at].sum())
+                fits[seen] = yes, fit_intercept(p[at], y[at]) if min(yes, len(at) - yes) >= rules.calibration_each else np.nan
+            n[i], (positive[i], shift[i]) = len(at), fits[seen]
+        return pd.DataFrame({"k": ask["k"], "session": ask["session"], "id": ask["id"], "t": ask["t"], "calibration_n": n, "calibration_positive": positive, "intercept": [None if np.isnan(b) else b for b in shift]})
+
+    shifts = _by_cohort(raw.select("k", "session", "id", "t"), raw.where(done).select("k", "session", "id", "known", "y", "raw"), rules.calibration_most, 1, calibrate, head + "calibration_n bigint, calibration_positive bigint, intercept double")
+    both = raw.join(shifts.select("k", "id", "t", "calibration_n", "calibration_positive", "intercept"), ["k", "id", "t"], "left")
+    low, high = F.lit(1e-6), F.lit(1 - 1e-6)
+    q = F.least(F.greatest("raw", low), high)
+    moved = F.least(F.greatest(1 / (1 + F.exp(-(F.ln(q / (1 - q)) + F.col("intercept")))), low), high)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("calibration_n", "calibration_positive")]
+    return both.select(F.col("k").alias("event_id"), F.col("id").alias("prediction_id"), F.col("t").alias("fitted_at"), "n", "positive", F.col("raw").alias("raw_probability"), *counts, "intercept", F.when(F.col("intercept").isNull(), F.col("raw")).otherwise(moved).alias("probability"))
+
+
 def bootstrap_skill(losses: DataFrame, key: str, block: str, candidate: str, base: str, draws: int = 10_000, seed: int = 20260823) -> DataFrame:
     """(key, skill, low, high): Brier skill with a block-bootstrap interval. Blocks are summed first, so a draw
     resamples block sums, never rows; a key's blocks are few (one per stretch of sessions)."""

@@ -263,15 +263,13 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = along(["series_id"], ["idx"])
     x = F.col("value")
     rows = on_calendar(spark, sf_dir)
-    rows = rows.select("series_id", F.col("session_date").alias("prediction_date"), clipped(log_change(x, 1, w) * 10, -3.0, 3.0).alias("f1"), clipped(log_change(x, 5, w) * 10, -3.0, 3.0).alias("f5"))
+    rows = rows.select("series_id", F.col("session_date").alias("prediction_date"), F.col("idx").alias("session"), clipped(log_change(x, 1, w) * 10, -3.0, 3.0).alias("f1"), clipped(log_change(x, 5, w) * 10, -3.0, 3.0).alias("f5"))
     return ledger(spark, sf_dir).join(rows, ["series_id", "prediction_date"], "left")
 
 
-RULES = probability.FitRules(least=LEAST, least_each=10)
-
-
 def logistic_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probability.walk_forward(_features(spark, sf_dir), ["f1", "f5"], RULES, refit="quarter")
+    """One fit per decision with the domain's own rules: 252 outcomes, 30 of each class, a purge of 20 sessions."""
+    return probability.sequential_walk_forward(_features(spark, sf_dir), ["f1", "f5"])
 
 
 def bootstrap_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
