@@ -15,7 +15,7 @@ from ..session import real, table
 from .feature_queries import G, S, T, _states, state_frame
 from .pit_queries import on_calendar
 
-LEAST = 100  # outcomes a base rate needs here; the domain's own is 252
+LEAST = 252  # outcomes a base rate needs
 AS_OF = "2020-01-01 00:00:00"
 
 

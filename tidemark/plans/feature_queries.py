@@ -13,7 +13,7 @@ from ..operators.windows import along, any_true, at_least_true, filled, level_ch
 from ..session import table
 from .pit_queries import CAL, R, on_calendar
 
-WINDOW, LEAST = 252, 126  # the percentile's window here; the domain's own is 756 and 504
+WINDOW, LEAST = 756, 504  # sessions before a reading that its percentile looks at, and valid ones it needs
 
 
 def _order() -> WindowSpec:
