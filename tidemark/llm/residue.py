@@ -111,7 +111,7 @@ SCRIPT = (
     r"active javascript para|necesita scripts y cookies",
 )
 
-#: Every rule needs one of these in a message; only messages that hold one are masked, grouped and classified.
+#: Every rule but filler Latin and repeated words needs one of these in a message; only messages that hold one are masked, grouped and classified.
 SIGNS = (
     "{ %( @@ <% here> <your << « [[ [insert [tbd [todo __ x.x x:x ×× 填写 【 <! lorem blindtext platzhalter beispieltext "
     "排版测试 示例文字 占位 http/ unauthorized forbidden requests gateway unavailable <title> permission denied maintenance "
@@ -122,8 +122,11 @@ SIGNS = (
     "heading ", "caption ", "bullet ", "paragraph ", "bad request", "not found", "request timeout", "gone", "server error", "went wrong", "out of date",
     "could not be ", "gateway did", "you are looking for", "at capacity", "session has expired", "connection failed", " disponible", " js", "checking your ", "are human",
 ]
-#: Filler Latin without its first words: enough of these mark it, and none is a word of the languages at hand.
+SIGNS += [f"{was} {done}" for was in ("was", "been") for done in ("reset", "refused", "blocked")]
+#: Filler Latin none of which is a word of the languages at hand: one marks a message.
 SIGNS += [w for w in LATIN if w in {"ullamco", "fugiat", "nostrud", "veniam", "laboris", "aliqua", "cillum", "irure", "incididunt", "pariatur", "nisi", "velit", "labore", "aute"}]
+#: The rest of it also stands in ordinary words ("temporary", "animal"); the rule wants four, so four of them mark a message.
+WEAK_SIGNS, ENOUGH = [w for w in LATIN if w not in SIGNS], 4
 
 SIGNS += [f"%{letter}" for letter in "abcdefghijklmnopqrstuvwxyz"]
 
@@ -145,13 +148,24 @@ class Recurrence:
 
 
 def _signs() -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for sign in WEAK_SIGNS:
+        found.add_word(sign, 1)
     for sign in SIGNS:
-        found.add_word(sign)
+        found.add_word(sign, ENOUGH)
     found.make_automaton()
     return found
 
 
+def _marked(text: str, signs: ahocorasick.Automaton) -> bool:
+    seen = 0
+    for _, weight in signs.iter(text):
+        seen += weight
+        if seen >= ENOUGH:
+            return True
+    return _AGAIN.search(text) is not None
+
+
 def plain_text(text: str) -> str:
     """Compatibility forms folded, invisible characters dropped, small letters, single blanks, line breaks kept."""
     if not text.isascii():
@@ -168,13 +182,13 @@ def messages_of(text: str, signs: ahocorasick.Automaton) -> set[str]:
     """The masked messages of a text that a rule could accept. Code blocks and code in a sentence show or
     explain something, so they are left out."""
     plain = plain_text(text)
-    if next(signs.iter(plain), None) is None and not _AGAIN.search(plain):
+    if not _marked(plain, signs):
         return set()
     plain = _QUOTED_CODE.sub(" ", _FENCED.sub("\n", plain))
     out = set()
     for part in _SPLIT.split(plain):
         part = part.strip().lstrip("-*> ")
-        if part and (next(signs.iter(part), None) is not None or _AGAIN.search(part)):
+        if part and _marked(part, signs):
             out.add(mask(part))
     return out
 
