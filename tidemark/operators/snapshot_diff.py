@@ -79,7 +79,8 @@ def snapshot_changes(
     """(snapshot, keys, change) for each record added, removed or changed against the snapshot before.
 
     Give normalised keys and contents. Of several rows of a key in a snapshot the one with the greatest
-    `latest` holds. Rows with a null key or snapshot are no records. A null content equals null and
+    `latest` holds. Rows with a null key or snapshot are no records, but a
+    snapshot whose rows all lack a key still counts: all records before it are removed in it. A null content equals null and
     differs from any value. The first snapshot has no changes; empty in, empty out.
 
     Rows shrink to (snapshot, two 64-bit key hashes, row hash); the latest of each key is found by an
@@ -89,15 +90,16 @@ def snapshot_changes(
     """
     require_columns(attempts, snapshot, *keys, content, latest)
     spark = attempts.sparkSession
-    named = attempts.select(
+    given = attempts.select(
         F.col(snapshot).alias("snap"), *[F.col(c).alias(f"key{i}") for i, c in enumerate(keys)], F.col(content).alias("content"), F.col(latest).alias("latest")
-    ).where(" and ".join(["snap is not null", *[f"key{i} is not null" for i in range(len(keys))]]))
+    ).where("snap is not null")
+    named = given.where(" and ".join(f"key{i} is not null" for i in range(len(keys))))
     ks = [F.col(f"key{i}") for i in range(len(keys))]
     named = named.withColumns({"k1": F.xxhash64(*ks), "k2": F.xxhash64(F.lit("second"), *reversed(ks))})
     row = F.when(F.col("content").isNull(), F.lit(NO_HASH)).otherwise(F.xxhash64("content"))
     rank = F.coalesce(F.col("latest").cast("bigint"), F.lit(-(1 << 63)))  # a row without a number counts only where there is no other
     held = named.groupBy("snap", "k1", "k2").agg(F.max_by(row, rank).alias("row"))
-    order = sorted(r[0] for r in named.select("snap").distinct().collect())  # one number per snapshot
+    order = sorted(r[0] for r in given.select("snap").distinct().collect())  # one number per snapshot, also of those without a record
     buckets = max(1, -(-attempts.count() // rows_per_bucket))
     edges = np.array(order, dtype=np.int64)
 
