@@ -18,7 +18,7 @@ def plain(v):
     if isinstance(v, bool) or v is None:
         return v
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9) + 0.0
+        return "NaN" if math.isnan(v) else round(v, 9) + 0.0  # NaN is not null: each side must settle it itself
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):

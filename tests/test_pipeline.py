@@ -220,3 +220,32 @@ def test_implausible_readings_edges(spark):
     rows = [(None, day(0), 1.0, at(0)), ("A", None, 1.0, at(0)), ("A", day(0), float("nan"), at(0)), ("A", day(1), 1.0, None), ("B", day(0), 0.0, at(0)), ("B", day(0), 0.0, at(0)), ("C", day(0), 7.0, at(0))]
     got = [(r.series_id, r.spike, r.stuck, r.impossible) for r in implausible_readings(obs(spark, rows)).collect()]
     assert got == [("B", False, False, True)]
+
+
+def test_as_of_settles_nan_and_repeated_asks(spark):
+    facts = [("A", day(0), float("nan"), at(0), at(2), "r1"), ("A", day(0), 2.0, at(1), at(5), "r2")]
+    events = [(i, "A", day(0), at(3), 0.0, 0) for i in range(50)] + [(99, "A", day(0), at(6), 0.0, 0)]
+    got = {r.prediction_id: (r.revision_id, r.value) for r in attributes_as_of(spark.createDataFrame(events, EVENTS), obs(spark, facts)).collect()}
+    assert got == {i: ("r1", None) for i in range(50)} | {99: ("r2", 2.0)}
+
+
+def test_as_of_grows_in_proportion_on_one_point(spark):
+    """All changes and all events on one point within a day: twice the rows take about twice the time, not four times."""
+    import time
+
+    def took(n):
+        step = F.expr(f"timestamp_ntz'2020-01-05 00:00:00' + make_dt_interval(0, 0, 0, id * {86400 / n})")
+        facts = spark.range(n).select(
+            F.lit("A").alias("series_id"), F.lit(D0).alias("session_date"), step.alias("available_at"), F.lit(at(9)).cast("timestamp_ntz").alias("ingested_at"),
+            F.concat(F.lit("r"), "id").alias("revision_id"), F.col("id").cast("double").alias("value"),
+        )
+        events = spark.range(n).select(F.col("id").alias("prediction_id"), F.lit("A").alias("series_id"), F.lit(D0).alias("prediction_date"), step.alias("decision_at"))
+        begun = time.perf_counter()
+        out = attributes_as_of(events, facts)
+        right = out.where("revision_id = concat('r', prediction_id)").count()
+        assert right == n
+        return time.perf_counter() - begun
+
+    took(1000)
+    small = took(40_000)
+    assert took(80_000) < 2.5 * small + 0.5

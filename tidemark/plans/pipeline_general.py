@@ -88,7 +88,7 @@ w as (
 _P2 = """
 with e as (select distinct prediction_id, series_id, prediction_date, decision_at from target_ledger),
 k as (
-  select e.*, o.available_at, o.revision_id, o.value,
+  select e.*, o.available_at, o.revision_id, case when not isnan(o.value) then o.value end as value,
     row_number() over (partition by e.prediction_id order by o.available_at desc nulls last, o.ingested_at desc, o.revision_id desc) as rn
   from e left join observations o
     on o.series_id = e.series_id and o.session_date = e.prediction_date and o.available_at <= e.decision_at)
