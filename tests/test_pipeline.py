@@ -249,3 +249,20 @@ def test_as_of_grows_in_proportion_on_one_point(spark):
     took(1000)
     small = took(40_000)
     assert took(80_000) < 2.5 * small + 0.5
+
+
+def test_snapshots_may_be_dates_or_texts(spark):
+    rows = [("2020-01-09", "A", "s1", "h", 1, 0, 0), ("2020-01-09", "A", "s2", "h", 2, 0, 0), ("2020-01-31", "A", "s1", "g", 3, 0, 0), ("2020-02-03", "A", "s1", "g", 4, 0, 0), ("2020-02-03", "B", "s1", "g", 5, 0, 0)]
+    texts = spark.createDataFrame(rows, ATT.replace("snapshot_id bigint", "snapshot_id string"))
+    want = {("2020-01-31", "A", "s1", "changed"), ("2020-01-31", "A", "s2", "removed"), ("2020-02-03", "B", "s1", "added")}
+    assert {tuple(r) for r in snapshot_changes(texts).collect()} == want
+    dates = snapshot_changes(texts.withColumn("snapshot_id", F.col("snapshot_id").cast("date")))
+    assert {(str(a), b, c, d) for a, b, c, d in dates.collect()} == want
+
+
+def test_values_are_fetched_only_for_keys_that_differ(spark):
+    """In the plan the semi-join with the differences lies below the aggregate that gathers the keys' full values."""
+    one = spark.createDataFrame([(1, "A", "s", None, 1, 0, 0), (2, "A", "s", "h", 2, 0, 0)], ATT)
+    plan = snapshot_changes(one)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {kind: min(len(x) - len(x.lstrip(" :+-")) for x in plan if kind in x) for kind in ("LeftSemi", "Aggregate [k1")}
+    assert depth["LeftSemi"] > depth["Aggregate [k1"]

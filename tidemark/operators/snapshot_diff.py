@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import require_columns
 
@@ -81,11 +82,13 @@ def snapshot_changes(
     Give normalised keys and contents. Of several rows of a key in a snapshot the one with the greatest
     `latest` holds. Rows with a null key or snapshot are no records, but a
     snapshot whose rows all lack a key still counts: all records before it are removed in it. A null content equals null and
-    differs from any value. The first snapshot has no changes; empty in, empty out.
+    differs from any value. Snapshots may be numbers, dates or texts; they follow each other in their own order. The first
+    snapshot has no changes; empty in, empty out.
 
     Rows shrink to (snapshot, two 64-bit key hashes, row hash); the latest of each key is found by an
     aggregate that combines before the shuffle; hash buckets of bounded size are sorted and compared in
-    numpy. Only for keys that differ are the full values fetched again. Buckets hold distinct keys, so no
+    numpy. Full values are fetched only for keys that differ: the table is read once more for its keys, a semi-join with the
+    differences comes first, and only what it leaves is aggregated. Buckets hold distinct keys, so no
     key, however often repeated, makes a bucket large; their number follows the number of rows.
     """
     require_columns(attempts, snapshot, *keys, content, latest)
@@ -99,20 +102,23 @@ def snapshot_changes(
     row = F.when(F.col("content").isNull(), F.lit(NO_HASH)).otherwise(F.xxhash64("content"))
     rank = F.coalesce(F.col("latest").cast("bigint"), F.lit(-(1 << 63)))  # a row without a number counts only where there is no other
     held = named.groupBy("snap", "k1", "k2").agg(F.max_by(row, rank).alias("row"))
-    order = sorted(r[0] for r in given.select("snap").distinct().collect())  # one number per snapshot, also of those without a record
-    buckets = max(1, -(-attempts.count() // rows_per_bucket))
-    edges = np.array(order, dtype=np.int64)
+    # one row per snapshot, also of those without a record; their order and the number of rows come from the same pass
+    order = given.groupBy("snap").agg(F.count("*").alias("n")).sort("snap").collect()
+    buckets = max(1, -(-sum(r.n for r in order) // rows_per_bucket))
+    edges = np.arange(len(order), dtype=np.int64)
+    kind = attempts.schema[snapshot].dataType
+    numbers = spark.createDataFrame([(r.snap, i) for i, r in enumerate(order)], T.StructType([T.StructField("snap", kind), T.StructField("no", T.LongType())]))
 
     def compare(bucket: pa.Table) -> pa.Table:
-        arrays = (bucket.column(c).to_numpy() for c in ("snap", "k1", "k2", "row"))
+        arrays = (bucket.column(c).to_numpy() for c in ("no", "k1", "k2", "row"))
         found = diff_bucket(*arrays, edges)
-        return pa.table([pa.array(x.astype(np.int64)) for x in found], names=["snap", "k1", "k2", "code"])
-
-    compact = held.select(F.pmod(F.xxhash64("k1", "k2"), F.lit(buckets)).alias("bucket"), F.col("snap").cast("bigint").alias("snap"), "k1", "k2", "row")
-    found = compact.groupBy("bucket").applyInArrow(compare, "snap bigint, k1 bigint, k2 bigint, code bigint")
-    full = named.groupBy("k1", "k2").agg(*[F.min(f"key{i}").alias(f"key{i}") for i in range(len(keys))])
-    kind = attempts.schema[snapshot].dataType
-    return found.join(full, ["k1", "k2"]).select(
-        F.col("snap").cast(kind).alias(snapshot), *[F.col(f"key{i}").alias(c) for i, c in enumerate(keys)],
+        return pa.table([pa.array(x.astype(np.int64)) for x in found], names=["no", "k1", "k2", "code"])
+
+    compact = held.join(numbers, "snap").select(F.pmod(F.xxhash64("k1", "k2"), F.lit(buckets)).alias("bucket"), "no", "k1", "k2", "row")
+    found = compact.groupBy("bucket").applyInArrow(compare, "no bigint, k1 bigint, k2 bigint, code bigint")
+    differing = named.select("k1", "k2", *ks).join(found.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    full = differing.groupBy("k1", "k2").agg(*[F.min(f"key{i}").alias(f"key{i}") for i in range(len(keys))])
+    return found.join(full, ["k1", "k2"]).join(numbers, "no").select(
+        F.col("snap").alias(snapshot), *[F.col(f"key{i}").alias(c) for i, c in enumerate(keys)],
         F.element_at(F.array(*map(F.lit, ("added", "removed", "changed"))), (F.col("code") + 1).cast("int")).alias("change"),
     )
