@@ -62,6 +62,13 @@ def merge_versions(batches: Iterable[pa.RecordBatch], keys: Sequence[str], paylo
         yield from emit(carry, pa.nulls(1, carry.schema.field(at).type), np.array([carried_no]))
 
 
+def sorted_runs(batches: Iterable[pa.RecordBatch], order: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Each batch without its exact copies, sorted by `order`: what a map task hands to the merge."""
+    for batch in batches:
+        run = pa.Table.from_batches([batch]).group_by(list(order)).aggregate([]).select(list(order))
+        yield from run.sort_by([(c, "ascending") for c in order]).combine_chunks().to_batches()
+
+
 def attribute_history(
     deliveries: DataFrame | Sequence[DataFrame],
     keys: Sequence[str] = ("series_id", "session_date"),
@@ -70,20 +77,21 @@ def attribute_history(
 ) -> DataFrame:
     """Every version of every entity with the half-open period [valid_from, valid_to) in which it was current.
 
-    Takes one table of deliveries or several snapshots. Exact copies collapse in a map-side aggregate;
-    the snapshots are then co-partitioned by entity and sorted by entity and time. The external sorter
-    merges its key-sorted runs k ways, and one streaming pass over the merged iterator closes a version
-    where the payload changes. A repeat of the current payload begins nothing, a return to an earlier one
-    does. Null payloads equal each other. Deliveries at the same moment are ordered by payload, nulls
+    Takes one table of deliveries or several snapshots. Map tasks cut what they read into key-sorted runs
+    without exact copies, one exchange brings the runs of an entity together, and Spark's external sorter
+    merges them k ways by entity and time; one streaming pass over the merged iterator closes a version
+    where the payload changes, holding a batch and one open version. A repeat of the current payload begins nothing,
+    a return to an earlier one does. Null payloads equal each other. Deliveries at the same moment are ordered by payload, nulls
     first; deliveries without `at` are dropped; null keys form an entity of their own. Empty in, empty out.
     """
     frames = [deliveries] if isinstance(deliveries, DataFrame) else list(deliveries)
     for f in frames:
         require_columns(f, *keys, *payload, at)
     names = [*keys, *payload, at]
-    rows = reduce(DataFrame.unionByName, [f.select(*names) for f in frames]).where(F.col(at).isNotNull()).distinct()
-    merged = rows.repartition(*keys).sortWithinPartitions(*keys, at, *payload)
+    rows = reduce(DataFrame.unionByName, [f.select(*names) for f in frames]).where(F.col(at).isNotNull())
+    ks, ps, order = tuple(keys), tuple(payload), (*keys, at, *payload)
+    runs = rows.select(*order).mapInArrow(lambda it: sorted_runs(it, order), rows.select(*order).schema)
+    merged = runs.repartition(*keys).sortWithinPartitions(*order)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (*keys, *payload)], f"valid_from {kinds[at]}", f"valid_to {kinds[at]}", "version_no int"])
-    ks, ps = tuple(keys), tuple(payload)
     return merged.mapInArrow(lambda it: merge_versions(it, ks, ps, at), schema)
