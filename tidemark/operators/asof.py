@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import real, require_columns
+from ..session import real, require_columns, shared_dir
 
 #: Time buckets that a key's changes and events are cut into. A key has at most as many of them as the calendar
 #: has hours, however many rows it holds.
@@ -45,12 +45,14 @@ def known_intervals(found: DataFrame, asks: DataFrame, keys: Sequence[str], at:
     somebody asks, until a bucket that holds a change ends it. Facts and asks of a key and bucket meet by
     their equal key and bucket, and `valid_from <= at < next change` is settled by one merge along time, so
     a key with n changes and m asks costs n + m rows and never n x m pairs, and a hot key is spread over its buckets.
+    The timeline is used twice, so it is written once to the shared folder.
     """
+    shared_dir(found.sparkSession)
     keys = list(keys)
     fact = F.struct("valid_from", *[c for c in found.columns if c not in (*keys, "valid_from")])
     line = found.select(*keys, F.col("valid_from").alias("t"), fact.alias("fact"), F.lit(0).alias("ask"))
     line = line.unionByName(asks.select(*keys, F.col(at).alias("t"), F.lit(1).alias("ask")), allowMissingColumns=True)
-    line = line.withColumn("b", F.date_trunc(bucket, "t"))
+    line = line.withColumn("b", F.date_trunc(bucket, "t")).checkpoint()
     so_far = Window.partitionBy(*keys, "b").orderBy("t", "ask").rowsBetween(Window.unboundedPreceding, 0)  # a change at `at` itself is known
     inside = line.withColumn("here", F.last("fact", ignorenulls=True).over(so_far)).where("ask = 1").select(*keys, "b", "t", "here")
     cells = line.groupBy(*keys, "b").agg(F.max_by("fact", F.when(F.col("ask") == 0, F.col("t"))).alias("closing"), F.max("ask").alias("asked"))
