@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 pytest.importorskip("ahocorasick")
 from tidemark.llm.packing import BestFit, pack_documents
 from tidemark.llm.residue import candidate_messages, classified_messages, mask, plain_text, residue_documents
-from tidemark.llm.tokenize import TOKENIZER_DIR, WORDS, Encoder, encode_corpus, merge_word, pieces_of, read_ranks, token_counts
+from tidemark.llm.tokenize import TOKENIZER_DIR, WORDS, Encoder, encode_corpus, frequent_words, lexicon_of, merge_word, pieces_of, read_ranks, token_counts, word_counts
 from tidemark.llm.transducer import Lexicon, compile_lexicon
 
 PATH = os.path.join(TOKENIZER_DIR, "byte_bpe_50k.tiktoken")
@@ -186,3 +186,16 @@ def test_messages_are_grouped_across_sources(spark):
 def test_masks():
     assert mask("seen 2020-01-02 at 10:15:00 on https://a.b/c by x@y.org, id 4190d363fea8") == "seen 0 at 0 on @ by @, id 0"
     assert plain_text("Ａ​B  c\r\n D") == "ab c\nd"
+
+
+@needs_files
+def test_lexicon_holds_the_frequent_words_of_all_rows_with_all_their_ids(spark, ranks):
+    docs = spark.createDataFrame([(i, t, None, 1, 2) for i, t in enumerate(["quaxly floon, quaxly", "the quaxly  the", None, "", "once 12345 12345", "x" * 200 + " " + "x" * 200])], DOCS)
+    counts = {r.word: r.n for r in word_counts(docs).collect()}
+    assert counts == {"quaxly": 3, "floon,": 1, "the": 2, "once": 1, "12345": 2}
+    assert frequent_words(docs) == ["quaxly", "12345", "the"] and frequent_words(docs, most=1) == ["quaxly"]
+    lexicon = Lexicon(lexicon_of(frequent_words(docs), ranks))
+    numbers = lexicon.numbers([b" quaxly", b" the", b" once", b" 12345"]).tolist()
+    assert numbers[2] == -1 and min(numbers[0], numbers[1], numbers[3]) >= 0
+    assert lexicon.ids(numbers[0]).tolist() == merge_word(b" quaxly", ranks) and len(lexicon.ids(numbers[0])) > 1
+    assert frequent_words(docs.limit(0)) == []

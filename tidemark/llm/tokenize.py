@@ -8,6 +8,7 @@ import hashlib
 import heapq
 import os
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -15,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import require_columns, shared_dir
 from .transducer import Lexicon, compile_lexicon
@@ -38,6 +40,8 @@ _WORDS = regex.compile(WORDS)
 #: Entries that a worker's memo of pieces holds before it starts anew; it saves time, results don't depend on it.
 MEMO = 300_000
 LONG = 48
+#: Frequent words that are compiled into the lexicon at most; the exact merge takes all others.
+FREQUENT = 100_000
 ROWS = 512
 
 
@@ -94,11 +98,15 @@ class Encoder:
 
     def __init__(self, lexicon: Lexicon, memo: int = MEMO) -> None:
         self.lexicon, self.limit = lexicon, memo
-        self.ranks = lexicon.vocabulary()
         self.bare: dict[str, bytes] = {}
         self.blank: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def ranks(self) -> dict[bytes, int]:
+        """The vocabulary, read from the mapped file once a word is met that the lexicon lacks."""
+        return self.lexicon.vocabulary()
+
     def _learn(self, pieces: set[str], lead: str) -> dict[str, bytes]:
         split = [(p, _WORDS.findall(lead + p)) for p in pieces]
         fresh = list({w for _, words in split for w in words}.difference(self.words))
@@ -132,25 +140,60 @@ class Encoder:
         return [b"".join([*map(bare, a), *map(blank, b)]) for a, b in cut]
 
 
-@functools.lru_cache(maxsize=4)
-def _compiled(path: str, _stamp: float) -> bytes:
-    """Words that the tokenizer's merges made whole are the frequent ones; each has its own id as output."""
-    ranks = read_ranks(path)
+def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how often each stretch between blanks occurs in the whole corpus, those over LONG characters left out.
 
-    def whole(token: bytes) -> bool:
-        try:
-            text = token.decode()
-        except UnicodeDecodeError:
-            return False
-        return _WORDS.findall(text) == [text]
+    Counted where the texts are read and flushed in parts of bounded size, so what is shuffled are distinct
+    words with their counts.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            kept = [(w, n) for w, n in counts.items() if 0 < len(w) <= LONG]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    return compile_lexicon(((t, (r,)) for t, r in ranks.items() if whole(t)), ranks)
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                if value:
+                    counts.update(value.split(" "))
+                if len(counts) > MEMO:
+                    yield flush()
+        yield flush()
 
+    parts = documents.select(text).mapInArrow(run, "word string, n bigint")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
-def publish_lexicon(spark: SparkSession, tokenizer_dir: str = TOKENIZER_DIR, tokenizer: str = TOKENIZER) -> str:
-    """Compiles the lexicon, puts it in the shared folder and has Spark hand it to the executors; returns its name."""
+
+def frequent_words(documents: DataFrame, text: str = "text", most: int = FREQUENT) -> list[str]:
+    """The words to compile: those that occur twice or more, the most frequent first, at most `most` (a bounded table)."""
+    return [r.word for r in word_counts(documents, text).where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+@functools.lru_cache(maxsize=4)
+def _ranks(path: str, _stamp: float) -> dict[bytes, int]:
+    return read_ranks(path)
+
+
+def lexicon_of(words: Iterable[str], ranks: dict[bytes, int]) -> bytes:
+    """The compiled lexicon of the words that the tokenizer's pattern finds in the given stretches, each behind a blank;
+    outputs are all ids of a word, one or several."""
+    entries: dict[bytes, list[int]] = {}
+    for stretch in words:
+        for word in _WORDS.findall(" " + stretch):
+            code = word.encode()
+            if code not in entries:
+                entries[code] = merge_word(code, ranks)
+    return compile_lexicon(entries.items(), ranks)
+
+
+def publish_lexicon(documents: DataFrame, text: str = "text", tokenizer_dir: str = TOKENIZER_DIR, tokenizer: str = TOKENIZER, most: int = FREQUENT) -> str:
+    """Counts the corpus' words, compiles the frequent ones, puts the file in the shared folder and has Spark hand it to
+    the executors; returns its name."""
+    spark = documents.sparkSession
     path = os.path.join(tokenizer_dir, f"{tokenizer}.tiktoken")
-    data = _compiled(path, os.path.getmtime(path))
+    data = lexicon_of(frequent_words(documents, text, most), _ranks(path, os.path.getmtime(path)))
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
     place = f"{shared_dir(spark)}/{name}"
     jvm = spark.sparkContext._jvm
@@ -181,11 +224,12 @@ def encode_corpus(
 ) -> DataFrame:
     """(doc_id, ids): every document's token ids without special tokens, one row in, one row out, no shuffle.
 
-    Null and empty texts give an empty list; the strings of special tokens are ordinary text. Texts are
-    encoded whole, whatever their length. Ids of documents may repeat or be null.
+    A first pass counts the words of all texts; the frequent ones are compiled with their ids into a minimal automaton that
+    every worker maps, and words which it lacks are merged exactly. Null and empty texts give an empty list; the strings of special
+    tokens are ordinary text. Texts are encoded whole, whatever their length. Ids of documents may repeat or be null.
     """
     require_columns(documents, doc_id, text)
-    name = publish_lexicon(documents.sparkSession, tokenizer_dir, tokenizer)
+    name = publish_lexicon(documents, text, tokenizer_dir, tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(name)
@@ -205,7 +249,7 @@ def token_counts(
 ) -> DataFrame:
     """(doc_id, n_tokens): the length of every document in tokens; null and empty texts have 0."""
     require_columns(documents, doc_id, text)
-    name = publish_lexicon(documents.sparkSession, tokenizer_dir, tokenizer)
+    name = publish_lexicon(documents, text, tokenizer_dir, tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(name)
