@@ -41,7 +41,7 @@ _WORDS = regex.compile(WORDS)
 MEMO = 300_000
 LONG = 48
 #: Frequent words that are compiled into the lexicon at most; the exact merge takes all others.
-FREQUENT = 100_000
+FREQUENT = 20_000
 ROWS = 512
 
 
