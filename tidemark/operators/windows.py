@@ -84,26 +84,26 @@ def _midranks(x: np.ndarray, sig: np.ndarray | None, start: int, window: int, mi
     return out
 
 
-def midrank_percentile(
-    df: DataFrame, key: str, order: str, value: str, signature: str | None = None, window: int = 756, minimum: int = 504, cell: int = 4096
+def midrank_percentiles(
+    df: DataFrame, key: str, order: str, values: Sequence[str], signature: str | None = None, window: int = 756, minimum: int = 504, cell: int = 4096, position: str | None = None
 ) -> DataFrame:
-    """(key, order, percentile) with the share of the `window` rows before each row that lie below its value,
+    """(key, order, p_value...) with the share of the `window` rows before each row that lie below its value,
     ties counting half. The current row is not among them, rows without a value keep their place but aren't
     counted, and below `minimum` counted rows the result is null. With `signature` only rows of the same
     signature count, wherever they stand; a null signature gives null.
 
     Entities are cut into cells of `cell` rows, each with the `window` rows before it, so a long entity is
-    spread over tasks and no row carries an array; a cell is one vectorised pass.
+    spread over tasks and no row carries an array; a cell is one vectorised pass for all values at once. `position` names a column
+    that numbers the rows of each entity without gaps (a session index); without it they are numbered by a window over the entity.
     """
     sig = F.xxhash64(signature).bitwiseAND(F.lit((1 << 62) - 1)) if signature else F.lit(0).cast("bigint")
     sig = F.when(F.col(signature).isNull(), F.lit(-1).cast("bigint")).otherwise(sig) if signature else sig
-    rows = df.select(
-        F.col(key).alias("e"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"), sig.alias("sig"),
-        (F.row_number().over(along([key], [order])) - 1).alias("i"),
-    )
+    place = F.col(position).cast("bigint") if position else F.row_number().over(along([key], [order])) - 1
+    xs = [f"x{n}" for n in range(len(values))]
+    rows = df.select(F.col(key).alias("e"), F.col(order).alias("o"), *[F.col(v).cast("double").alias(x) for v, x in zip(values, xs, strict=True)], sig.alias("sig"), place.alias("i"))
     cells = rows.withColumn("c", F.explode(F.expr(f"sequence(cast(i div {cell} as int), cast((i + {window}) div {cell} as int))")))
     cells = cells.repartition("e", "c").sortWithinPartitions("e", "c", "i")
-    used = signature is not None
+    used, names = signature is not None, [key, order, *[f"p_{v}" for v in values]]
 
     def whole_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
@@ -123,16 +123,23 @@ def midrank_percentile(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_cells(batches):
             table = table.combine_chunks()
-            x, s = table.column("x").to_numpy(zero_copy_only=False).astype(float), table.column("sig").to_numpy()
-            c, i = table.column("c").to_numpy(), table.column("i").to_numpy()
+            columns = [table.column(x).to_numpy(zero_copy_only=False).astype(float) for x in xs]
+            s, c, i = (table.column(x).to_numpy() for x in ("sig", "c", "i"))
             new = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (c[1:] != c[:-1])])
             for a, b in zip(new, np.r_[new[1:], len(i)], strict=True):
                 start = int(np.searchsorted(i[a:b], c[a] * cell))
                 if a + start >= b:
                     continue
-                p = _midranks(x[a:b], s[a:b] if used else None, start, window, minimum)
+                ranked = [pa.array(_midranks(x[a:b], s[a:b] if used else None, start, window, minimum), from_pandas=True) for x in columns]
                 part = table.slice(a + start, b - a - start)
-                yield from pa.table([part.column("e"), part.column("o"), pa.array(p, from_pandas=True)], names=[key, order, "percentile"]).to_batches()
+                yield from pa.table([part.column("e"), part.column("o"), *ranked], names=names).to_batches()
 
     kinds = [df.schema[c].dataType.simpleString() for c in (key, order)]
-    return cells.mapInArrow(run, f"`{key}` {kinds[0]}, `{order}` {kinds[1]}, percentile double")
+    return cells.mapInArrow(run, ", ".join([f"`{key}` {kinds[0]}", f"`{order}` {kinds[1]}", *[f"`{n}` double" for n in names[2:]]]))
+
+
+def midrank_percentile(
+    df: DataFrame, key: str, order: str, value: str, signature: str | None = None, window: int = 756, minimum: int = 504, cell: int = 4096, position: str | None = None
+) -> DataFrame:
+    """(key, order, percentile): `midrank_percentiles` of one value."""
+    return midrank_percentiles(df, key, order, [value], signature, window, minimum, cell, position).withColumnRenamed(f"p_{value}", "percentile")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window, WindowSpec
 from ..functions.scalars import bucket, capped_log_age, forward_variance, forward_volatility, scaled_change, weighted_score
 from ..operators import folds
 from ..operators.curve import curve_table, nearest_contracts
-from ..operators.windows import along, any_true, at_least_true, filled, level_change, log_change, midrank_percentile, run_number, trailing
+from ..operators.windows import along, any_true, at_least_true, filled, level_change, log_change, midrank_percentile, midrank_percentiles, run_number, trailing
 from ..session import table
 from .pit_queries import CAL, R, on_calendar
 
@@ -35,7 +35,7 @@ def level_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def midrank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return midrank_percentile(on_calendar(spark, sf_dir), "series_id", "session_date", "value", window=756, minimum=504)
+    return midrank_percentile(on_calendar(spark, sf_dir), "series_id", "session_date", "value", window=756, minimum=504, position="idx")
 
 
 def _with_method(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def _with_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def midrank_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return midrank_percentile(_with_method(spark, sf_dir), "series_id", "session_date", "value", signature="method", window=WINDOW, minimum=LEAST)
+    return midrank_percentile(_with_method(spark, sf_dir), "series_id", "session_date", "value", signature="method", window=WINDOW, minimum=LEAST, position="idx")
 
 
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,10 +211,8 @@ def state_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _with_method(spark, sf_dir)
     x = F.col("value")
     base = base.withColumns({"d1": F.round(level_change(x, 1, _order()), 6), "d5": F.round(level_change(x, 5, _order()), 6)})
-    out = base.select("series_id", "session_date", "idx", "value", "d1", "d5")
-    for name in ("value", "d1", "d5"):
-        p = midrank_percentile(base, "series_id", "session_date", name, signature="method", window=WINDOW, minimum=LEAST)
-        out = out.join(p.withColumnRenamed("percentile", f"p_{name}"), ["series_id", "session_date"])
+    ranks = midrank_percentiles(base, "series_id", "session_date", ["value", "d1", "d5"], "method", WINDOW, LEAST, position="idx")
+    out = base.select("series_id", "session_date", "idx", "value", "d1", "d5").join(ranks, ["series_id", "session_date"])
     shock = weighted_score([(F.col("p_value"), 0.5), (F.col("p_d1"), 0.25), (F.col("p_d5"), 0.25)])
     carry = weighted_score([(1 - F.col("p_value"), 0.75), (1 - F.col("p_d5"), 0.25)])
     out = out.withColumns({"shock": shock, "carry": carry})
