@@ -12,7 +12,7 @@ BASE = dict(
     formal=True, front_formal=True, status="OK", base=30.0, d5_base=0.0,
 )
 TYPES = {"confirmations": "int", "hard_acute": "boolean", "formal": "boolean", "front_formal": "boolean", "status": "string"}
-INPUTS = sorted({c for _, _, _, inputs in state.event_facts().values() for c in inputs} - set(BASE) | {"carry_risk", "persistence"})
+INPUTS = "carry_risk persistence p_slope p_d5_slope p_basis p_d5_mid p_d5_mid_slope p_d5_near".split()
 
 
 def frame(spark, rows):

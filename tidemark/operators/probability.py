@@ -226,23 +226,27 @@ def sequential_walk_forward(ledger: DataFrame, features: Sequence[str], rules: F
     return both.select(F.col("k").alias("event_id"), F.col("id").alias("prediction_id"), F.col("t").alias("fitted_at"), "n", "positive", F.col("raw").alias("raw_probability"), *counts, "intercept", F.when(F.col("intercept").isNull(), F.col("raw")).otherwise(moved).alias("probability"))
 
 
-def bootstrap_skill(losses: DataFrame, key: str, block: str, candidate: str, base: str, draws: int = 10_000, seed: int = 20260823) -> DataFrame:
-    """(key, skill, low, high): Brier skill with a block-bootstrap interval. Blocks are summed first, so a draw
-    resamples block sums, never rows; a key's blocks are few (one per stretch of sessions)."""
+def bootstrap_skill(losses: DataFrame, key: str, block: str, candidate: str, base: str, draws: int = 10_000, seed: int = 20260823, chunk: int = 1_000_000) -> DataFrame:
+    """(key, blocks, skill, q05, low, high): Brier skill with its one-sided 5 % quantile and a two-sided 95 % interval from a block bootstrap.
+
+    `block` is a number; blocks between a key's first and last without rows count with sums of 0. Rows are summed to blocks first, so a draw
+    resamples block sums, never rows. Draws are made in chunks of bounded size, whatever the number of blocks.
+    """
     sums = losses.groupBy(key, block).agg(F.sum(candidate).alias("c"), F.sum(base).alias("b"))
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(block)
-        c, b = group["c"].to_numpy(float), group["b"].to_numpy(float)
-        rng = np.random.Generator(np.random.PCG64(seed))
-        picks = rng.integers(0, len(c), (draws, len(c))) if len(c) <= 2000 else None
-        top = c[picks].sum(1) if picks is not None else np.array([c[i].sum() for i in (rng.integers(0, len(c), len(c)) for _ in range(draws))])
+        at = group[block].to_numpy(np.int64)
+        c, b = np.zeros(at.max() - at.min() + 1), np.zeros(at.max() - at.min() + 1)
+        c[at - at.min()], b[at - at.min()] = group["c"].to_numpy(float), group["b"].to_numpy(float)
         rng = np.random.Generator(np.random.PCG64(seed))
-        low = b[picks].sum(1) if picks is not None else np.array([b[i].sum() for i in (rng.integers(0, len(b), len(b)) for _ in range(draws))])
-        ok = low > 0
-        skill = 1 - top[ok] / low[ok]
+        top, low = np.empty(draws), np.empty(draws)
+        step = max(1, chunk // len(c))
+        for i in range(0, draws, step):
+            picks = rng.integers(0, len(c), (min(step, draws - i), len(c)))
+            top[i : i + step], low[i : i + step] = c[picks].sum(1), b[picks].sum(1)
+        skill = 1 - top[low > 0] / low[low > 0]
+        q = np.quantile(skill, [0.05, 0.025, 0.975]) if len(skill) else [None] * 3
         whole = 1 - c.sum() / b.sum() if b.sum() > 0 else None
-        q = np.quantile(skill, [0.025, 0.975]) if len(skill) else [None, None]
-        return pd.DataFrame({key: [group[key].iloc[0]], "skill": [whole], "low": [q[0]], "high": [q[1]]})
+        return pd.DataFrame({key: [group[key].iloc[0]], "blocks": [len(c)], "skill": [whole], "q05": [q[0]], "low": [q[1]], "high": [q[2]]})
 
-    return sums.groupBy(key).applyInPandas(draw, f"`{key}` string, skill double, low double, high double")
+    return sums.groupBy(key).applyInPandas(draw, f"`{key}` string, blocks bigint, skill double, q05 double, low double, high double")

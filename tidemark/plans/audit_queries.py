@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.calendar import indexed_sessions
 from ..functions.scalars import clipped
 from ..operators import audit, backtest, events, pit, probability
+from ..operators.state import EVENTS
 from ..operators.windows import along, clusters, level_change, log_change
-from ..session import real, table
+from ..session import real, shared_dir, table
 from .feature_queries import G, S, T, _states, state_frame
 from .pit_queries import on_calendar
 
 LEAST = 252  # outcomes a base rate needs
 AS_OF = "2020-01-01 00:00:00"
+SHORT = 60  # outcomes that the short rate looks back on
+CRISIS = ("2020-02-20", "2020-06-30")
+BASE_ONLY = ("broad_stress_persists_10d",)  # events without a model of their own
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,23 +57,35 @@ def causal_cohort_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.known_by(asks, outcomes).select(F.col("k").alias("event_id"), F.col("t").alias("decision_at"), "n")
 
 
+def rate(spark: SparkSession, sf_dir: str, last: int, minimum: int) -> DataFrame:
+    return events.causal_base_rate(ledger(spark, sf_dir), "event_id", "prediction_id", "decision_at", "outcome_available_at", "label", last, minimum)
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resolved predictions with the base rate known at their decision as the probability."""
-    rows = ledger(spark, sf_dir).where("label is not null")
-    rates = events.causal_base_rate(ledger(spark, sf_dir), "event_id", "prediction_id", "decision_at", "outcome_available_at", "label", minimum=LEAST)
-    p = rates.select("event_id", "decision_at", F.round("base_rate", 9).alias("p"))
-    return rows.join(p, ["event_id", "decision_at"]).where("p is not null").withColumn("y", F.col("label").cast("double"))
+    """Resolved predictions with p, the rate of the last 60 outcomes known at their decision, against b, the base rate known then."""
+    base = rate(spark, sf_dir, 756, LEAST).select("event_id", "decision_at", F.round("base_rate", 9).alias("b"))
+    short = rate(spark, sf_dir, SHORT, 1).select("event_id", "decision_at", F.round("base_rate", 9).alias("p"))
+    rows = ledger(spark, sf_dir).where("label is not null").join(base, ["event_id", "decision_at"]).join(short, ["event_id", "decision_at"])
+    return rows.where("b is not null").withColumn("y", F.col("label").cast("double"))
+
+
+def _scores() -> list[Column]:
+    p, b, y = F.col("p"), F.col("b"), F.col("y")
+    return [F.count("*").alias("n"), F.sum("label").alias("positive"), audit.brier(p, y).alias("brier"), audit.brier(b, y).alias("base_brier")]
 
 
 def brier_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against always saying one half."""
-    out = predictions(spark, sf_dir).groupBy("event_id").agg(F.count("*").alias("n"), F.sum("label").alias("positive"), audit.brier(F.col("p"), F.col("y")).alias("brier"), audit.log_loss(F.col("p"), F.col("y")).alias("log_loss"))
-    return out.select("event_id", "n", "positive", F.round("brier", 7).alias("brier"), F.round("log_loss", 7).alias("log_loss"), F.round(1 - F.col("brier") / 0.25, 7).alias("skill"))
+    """Against the base rate."""
+    out = predictions(spark, sf_dir).groupBy("event_id").agg(*_scores(), audit.log_loss(F.col("p"), F.col("y")).alias("log_loss"), (F.avg("p") - F.avg("y")).alias("gap"))
+    return out.select("event_id", "n", "positive", *[F.round(c, 7).alias(c) for c in ("brier", "base_brier", "log_loss", "gap")], F.round(1 - F.col("brier") / F.col("base_brier"), 7).alias("skill"))
 
 
 def yearly_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = predictions(spark, sf_dir).groupBy("event_id", F.year("prediction_date").alias("year"))
-    return out.agg(F.count("*").alias("n"), F.sum("label").alias("positive"), F.round(audit.brier(F.col("p"), F.col("y")), 7).alias("brier"), F.round(F.avg("p") - F.avg("y"), 7).alias("gap"))
+    """By year, and in and out of the crisis."""
+    crisis = F.col("prediction_date").between(*[F.lit(d).cast("date") for d in CRISIS])
+    strata = F.array(F.year("prediction_date").cast("string"), F.when(crisis, "CRISIS").otherwise("CALM"))
+    out = predictions(spark, sf_dir).withColumn("stratum", F.explode(strata)).groupBy("event_id", "stratum").agg(*_scores(), (F.avg("p") - F.avg("y")).alias("gap"))
+    return out.select("event_id", "stratum", "n", "positive", F.round("brier", 7).alias("brier"), F.round("base_brier", 7).alias("base_brier"), F.round("gap", 7).alias("gap"))
 
 
 def ece_252(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,14 +93,34 @@ def ece_252(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.calibration_error(rows, "event_id", "p", "y", ["prediction_date", "prediction_id"]).select("event_id", "n", F.round("ece", 7).alias("ece"))
 
 
+def _accepted(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, positive, skill, ece, accepted) of each key's rows: the publication gate."""
+    score = rows.groupBy(key).agg(*_scores())
+    out = score.join(audit.calibration_error(rows, key, "p", "y", ["prediction_date", "prediction_id"]).select(key, "ece"), key)
+    skill = F.when(F.col("base_brier") > 0, 1 - F.col("brier") / F.col("base_brier"))
+    ok = (F.col("n") == 252) & (F.col("positive") >= 20) & (F.col("n") - F.col("positive") >= 20) & (skill >= 0.02) & (F.col("ece") <= 0.07)
+    return out.select(key, "n", "positive", F.round(skill, 7).alias("skill"), F.round("ece", 7).alias("ece"), F.coalesce(ok, F.lit(False)).alias("accepted"))
+
+
 def acceptance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The publication gate over each event's last 252 resolved predictions."""
-    rows = audit.last_rows(predictions(spark, sf_dir), ["event_id"], [F.desc("prediction_date"), F.desc("prediction_id")], 252)
-    score = rows.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("label").alias("positive"), audit.brier(F.col("p"), F.col("y")).alias("brier"))
-    out = score.join(audit.calibration_error(rows, "event_id", "p", "y", ["prediction_date", "prediction_id"]).select("event_id", "ece"), "event_id")
-    skill = 1 - F.col("brier") / 0.25
-    ok = (F.col("n") == 252) & (F.col("positive") >= 20) & (F.col("n") - F.col("positive") >= 20) & (skill >= 0.02) & (F.col("ece") <= 0.07)
-    return out.select("event_id", "n", "positive", F.round(skill, 7).alias("skill"), F.round("ece", 7).alias("ece"), ok.alias("accepted"))
+    return _accepted(audit.last_rows(predictions(spark, sf_dir), ["event_id"], [F.desc("prediction_date"), F.desc("prediction_id")], 252), "event_id")
+
+
+def validation_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The publication gate as it stood at the start of each year: the last 252 outcomes known by then."""
+    shared_dir(spark)
+    rows = predictions(spark, sf_dir).withColumnsRenamed({"p": "pm"}).checkpoint()  # used for the years and for their cohorts
+    start = F.date_trunc("year", "decision_at").cast("timestamp_ntz")
+    done = events.outcome_sequence(rows, "event_id", "prediction_id", "outcome_available_at", "label", ["pm", "b", "prediction_date"])
+    done = done.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    asks = rows.select(F.col("event_id").alias("k"), start.alias("t")).distinct()
+    reach = F.sequence(F.floor(F.greatest(F.col("n") - 252, F.lit(0)) / 252), F.floor(F.greatest(F.col("n") - 1, F.lit(0)) / 252))
+    asked = events.known_by(asks, done).withColumn("cell", F.explode(reach)).withColumnRenamed("t", "at")
+    held = done.select("k", F.floor((F.col("seq") - 1) / 252).alias("cell"), "seq", F.col("id").alias("prediction_id"), "prediction_date", F.col("pm").alias("p"), "b", F.col("y").alias("label"), F.col("y").cast("double").alias("y"))
+    cohort = asked.join(held, ["k", "cell"]).where("seq <= n and seq > n - 252").withColumn("key", F.concat_ws("|", "k", F.year("at").cast("string")))
+    out = _accepted(cohort.drop("n"), "key")
+    return out.select(F.substring_index("key", "|", 1).alias("event_id"), F.substring_index("key", "|", -1).cast("int").alias("year"), "n", "positive", "skill", "ece", "accepted")
 
 
 def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,24 +129,42 @@ def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outlook_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per decision day the event whose known rate lies furthest above one half of its odds; NONE below an edge of .1."""
-    rows = base_rate(spark, sf_dir).where("base_rate is not null").withColumn("day", F.to_date("decision_at"))
-    best = rows.groupBy("day").agg(F.max(F.struct(F.round(F.col("base_rate") - 0.25, 9).alias("edge"), "event_id")).alias("b"))
-    return best.select("day", F.when(F.col("b.edge") >= 0.1, F.col("b.event_id")).otherwise("NONE").alias("pick"), F.col("b.edge").alias("edge"))
+    """Per decision day the event whose rate lies furthest above its base rate, of equals the first in the catalogue; NONE below an edge of .1."""
+    place = F.array_position(F.array(*map(F.lit, EVENTS)), F.col("event_id"))
+    base = rate(spark, sf_dir, 756, LEAST).where("base_rate is not null").select("event_id", "decision_at", F.col("base_rate").alias("b"))
+    rows = rate(spark, sf_dir, SHORT, 1).join(base, ["event_id", "decision_at"]).withColumn("day", F.to_date("decision_at"))
+    best = rows.groupBy("day").agg(F.max(F.struct(F.round(F.round("base_rate", 9) - F.round("b", 9), 9).alias("edge"), (-place).alias("place"), "event_id")).alias("x"))
+    return best.select("day", F.when(F.col("x.edge") >= 0.1, F.col("x.event_id")).otherwise("NONE").alias("pick"), F.col("x.edge").alias("edge"))
+
+
+def _calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per event and decision: how many outcomes are known, and whether the last 252 give enough of either class to calibrate."""
+    enough = (F.col("n") >= 40) & (F.col("positive") >= 20) & (F.col("n") - F.col("positive") >= 20)
+    known = causal_cohort_counts(spark, sf_dir)
+    return known.join(rate(spark, sf_dir, 252, 1).select("event_id", "decision_at", enough.alias("calibrated")), ["event_id", "decision_at"])
 
 
 def kth_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When each event's first and 100th outcome became known."""
+    """When each event's first and 252nd outcome became known, and its first decisions with a base rate and with a calibration."""
     rows = events.outcome_sequence(ledger(spark, sf_dir), "event_id", "prediction_id", "outcome_available_at", "label")
-    return rows.groupBy(F.col("k").alias("event_id")).agg(F.min("t").alias("first_known"), F.max(F.when(F.col("seq") == LEAST, F.col("t"))).alias("ready_at"), F.count("*").alias("n"))
+    dates = rows.groupBy(F.col("k").alias("event_id")).agg(F.min("t").alias("first_known"), F.max(F.when(F.col("seq") == LEAST, F.col("t"))).alias("ready_at"), F.count("*").alias("n"))
+    at = _calibration(spark, sf_dir).groupBy("event_id").agg(
+        F.min(F.when(F.col("n") >= LEAST, F.col("decision_at"))).alias("first_rate"), F.min(F.when((F.col("n") >= LEAST) & F.col("calibrated"), F.col("decision_at"))).alias("first_calibrated"),
+    )
+    return dates.join(at, "event_id", "left")
 
 
 def publication_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What may be published for each prediction given its status and what was known by its decision."""
-    rows = ledger(spark, sf_dir).where("decision_at is not null and event_id is not null")
-    known = causal_cohort_counts(spark, sf_dir)
-    rows = rows.join(known, ["event_id", "decision_at"], "left")
-    kind = F.when(F.col("event_status") == "UNOBSERVABLE", "UNOBSERVABLE").when(F.col("event_status") == "NOT_APPLICABLE", "NOT_APPLICABLE").when(F.coalesce("n", F.lit(0)) < LEAST, "INSUFFICIENT_HISTORY").otherwise("BASE_RATE_ONLY")
+    """What may be published for each prediction: its status first, then the history known at its decision, then whether the
+    event has a model, enough to calibrate it, and passed the gate at the start of the year."""
+    rows = ledger(spark, sf_dir).where("decision_at is not null and event_id is not null").withColumn("year", F.year("decision_at"))
+    rows = rows.join(_calibration(spark, sf_dir), ["event_id", "decision_at"], "left")
+    rows = rows.join(validation_as_of(spark, sf_dir).select("event_id", "year", "accepted"), ["event_id", "year"], "left")
+    kind = (
+        F.when(F.col("event_status").isin("UNOBSERVABLE", "NOT_APPLICABLE"), F.col("event_status")).when(F.coalesce("n", F.lit(0)) < LEAST, "INSUFFICIENT_HISTORY")
+        .when(F.col("event_id").isin(*BASE_ONLY), "BASE_RATE_ONLY").when(~F.coalesce("calibrated", F.lit(False)), "IDENTITY_WARMUP")
+        .when(F.coalesce("accepted", F.lit(False)), "CALIBRATED_MODEL").otherwise("BASE_RATE_ONLY")
+    )
     return rows.select("prediction_id", kind.alias("decision"))
 
 
@@ -273,8 +328,11 @@ def logistic_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).withColumns({"block": F.date_trunc("month", "prediction_date"), "c": F.pow(F.col("p") - F.col("y"), F.lit(2.0)), "b": F.pow(0.5 - F.col("y"), F.lit(2.0))})
-    return probability.bootstrap_skill(rows, "event_id", "block", "c", "b")
+    """Skill against the base rate, resampled in blocks of 20 sessions."""
+    days = indexed_sessions(table(spark, sf_dir, "exchange_sessions")).select(F.col("session_date").alias("prediction_date"), F.floor(F.col("idx") / 20).cast("int").alias("block"))
+    rows = predictions(spark, sf_dir).join(days, "prediction_date")
+    rows = rows.withColumns({"c": F.pow(F.col("p") - F.col("y"), F.lit(2.0)), "b2": F.pow(F.col("b") - F.col("y"), F.lit(2.0))})
+    return probability.bootstrap_skill(rows, "event_id", "block", "c", "b2")
 
 
 def snapshot_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +344,7 @@ def snapshot_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    event_status, forward_labels, base_rate, causal_cohort_counts, brier_skill, yearly_metrics, ece_252, acceptance_metrics, reliability_bins, outlook_pick, kth_outcome, publication_decision,
+    event_status, forward_labels, base_rate, causal_cohort_counts, brier_skill, yearly_metrics, ece_252, acceptance_metrics, validation_as_of, reliability_bins, outlook_pick, kth_outcome, publication_decision,
     due_outcomes, ledger_truth_audit, probe_ledger, rolling20_return, probe_metrics, worst20, true_clusters, cluster_matching, crosstab_rates, distribution_by_state, error_metrics, forward_max_mean,
     loco_direction, episode_counts, block_sums, negative_blocks, power_calc, event_windows, json_props, logistic_walk_forward, bootstrap_skill, snapshot_document,
 )
@@ -299,7 +357,18 @@ cnt as (select ask.event_id, ask.decision_at, count(oc.seq) as n from ask left j
 br as (select cnt.event_id, cnt.decision_at, least(cnt.n, 756) as n, coalesce(sum(oc.y), 0)::bigint as positive,
   case when cnt.n >= {LEAST} then round((coalesce(sum(oc.y), 0) + 1) / (least(cnt.n, 756) + 2), 9) end as base_rate
   from cnt left join oc on oc.event_id = cnt.event_id and oc.seq <= cnt.n and oc.seq > cnt.n - 756 group by cnt.event_id, cnt.decision_at, cnt.n)"""
-PRED = f"{OUT}, pr as (select led.*, br.base_rate as p, label::double as y from led join br using (event_id, decision_at) where label is not null and base_rate is not null)"
+MODEL = f"""{OUT}, m60 as (select cnt.event_id, cnt.decision_at, round((coalesce(sum(oc.y), 0) + 1) / (least(cnt.n, {SHORT}) + 2), 9) as p
+  from cnt join oc on oc.event_id = cnt.event_id and oc.seq <= cnt.n and oc.seq > cnt.n - {SHORT} group by cnt.event_id, cnt.decision_at, cnt.n),
+cal as (select cnt.event_id, cnt.decision_at, cnt.n, least(cnt.n, 252) >= 40 and coalesce(sum(oc.y), 0) >= 20 and least(cnt.n, 252) - coalesce(sum(oc.y), 0) >= 20 as calibrated
+  from cnt left join oc on oc.event_id = cnt.event_id and oc.seq <= cnt.n and oc.seq > cnt.n - 252 group by cnt.event_id, cnt.decision_at, cnt.n)"""
+PRED = f"{MODEL}, pr as (select led.*, m60.p, br.base_rate as b, label::double as y from led join br using (event_id, decision_at) join m60 using (event_id, decision_at) where label is not null and base_rate is not null)"
+GATE = "n = 252 and positive >= 20 and n - positive >= 20 and coalesce(skill >= 0.02, false) and ece <= 0.07"
+VALID = f"""{PRED}, vs as (select *, row_number() over (partition by event_id order by outcome_available_at, prediction_id) as seq from pr where outcome_available_at is not null),
+vy as (select distinct event_id, date_trunc('year', decision_at) as t from pr), vn as (select vy.event_id, vy.t, count(vs.seq) as k from vy left join vs on vs.event_id = vy.event_id and vs.outcome_available_at <= vy.t group by all),
+vc as (select vn.t, vs.*, ntile(5) over (partition by vs.event_id, vn.t order by p, prediction_date, prediction_id) as bin from vn join vs on vs.event_id = vn.event_id and vs.seq <= vn.k and vs.seq > vn.k - 252),
+vb as (select event_id, t, bin, count(*) as c, abs(avg(p) - avg(y)) as gap from vc group by all), ve as (select event_id, t, sum(c * gap) / sum(c) as ece from vb group by all),
+vm as (select event_id, t, count(*) as n, sum(label)::bigint as positive, case when avg((b - y) * (b - y)) > 0 then 1 - avg((p - y) * (p - y)) / avg((b - y) * (b - y)) end as skill from vc group by all),
+va as (select event_id, year(t)::int as year, n, positive, round(skill, 7) as skill, round(ece, 7) as ece, {GATE} as accepted from vm join ve using (event_id, t))"""
 LAST = f"{PRED}, la as (select * from pr qualify row_number() over (partition by event_id order by prediction_date desc, prediction_id desc) <= 252)"
 BINS = f"""{LAST}, bi as (select *, ntile(5) over (partition by event_id order by p, prediction_date, prediction_id) as bin from la),
 be as (select event_id, bin, count(*) as n, avg(p) as mp, avg(y) as my from bi group by all), ec as (select event_id, sum(n)::bigint as n, sum(n * abs(mp - my)) / sum(n) as ece from be group by event_id)"""
@@ -339,18 +408,21 @@ ORACLE = {
       select a.series_id, a.idx, a.label as any5, a.status as status5, a.hit as hit5, b.label as five10, b.status as status10, b.hit as hit10 from a join b using (series_id, idx)""",
     "base_rate": f"with {OUT} select * from br",
     "causal_cohort_counts": f"with {OUT} select event_id, decision_at, n from cnt",
-    "brier_skill": f"""with {PRED} select event_id, count(*) as n, sum(label)::bigint as positive, round(avg((p - y) * (p - y)), 7) as brier, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 7) as log_loss,
-      round(1 - avg((p - y) * (p - y)) / 0.25, 7) as skill from pr group by all""",
-    "yearly_metrics": f"with {PRED} select event_id, year(prediction_date)::int as year, count(*) as n, sum(label)::bigint as positive, round(avg((p - y) * (p - y)), 7) as brier, round(avg(p) - avg(y), 7) as gap from pr group by event_id, year(prediction_date)",
+    "brier_skill": f"""with {PRED} select event_id, count(*) as n, sum(label)::bigint as positive, round(avg((p - y) * (p - y)), 7) as brier, round(avg((b - y) * (b - y)), 7) as base_brier,
+      round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 7) as log_loss, round(avg(p) - avg(y), 7) as gap, round(1 - avg((p - y) * (p - y)) / avg((b - y) * (b - y)), 7) as skill from pr group by all""",
+    "yearly_metrics": f"""with {PRED}, sy as (select *, year(prediction_date)::varchar as stratum from pr union all select *, case when prediction_date between date '{CRISIS[0]}' and date '{CRISIS[1]}' then 'CRISIS' else 'CALM' end from pr)
+      select event_id, stratum, count(*) as n, sum(label)::bigint as positive, round(avg((p - y) * (p - y)), 7) as brier, round(avg((b - y) * (b - y)), 7) as base_brier, round(avg(p) - avg(y), 7) as gap from sy group by event_id, stratum""",
     "ece_252": f"with {BINS} select event_id, n, round(ece, 7) as ece from ec",
-    "acceptance_metrics": f"""with {BINS}, sc as (select event_id, count(*) as n, sum(label)::bigint as positive, 1 - avg((p - y) * (p - y)) / 0.25 as skill from la group by all)
-      select event_id, sc.n, positive, round(skill, 7) as skill, round(ece, 7) as ece, sc.n = 252 and positive >= 20 and sc.n - positive >= 20 and skill >= 0.02 and ece <= 0.07 as accepted from sc join ec using (event_id)""",
+    "acceptance_metrics": f"""with {BINS}, sc as (select event_id, count(*) as n, sum(label)::bigint as positive, case when avg((b - y) * (b - y)) > 0 then 1 - avg((p - y) * (p - y)) / avg((b - y) * (b - y)) end as skill from la group by all),
+      jn as (select sc.*, ece from sc join ec using (event_id)) select event_id, n, positive, round(skill, 7) as skill, round(ece, 7) as ece, {GATE} as accepted from jn""",
+    "validation_as_of": f"with {VALID} select * from va",
     "reliability_bins": f"with {PRED} select event_id, greatest(ceil(p * 10), 1)::int as bin, count(*) as n, round(avg(p), 7) as mean_p, round(avg(y), 7) as mean_y from pr group by event_id, greatest(ceil(p * 10), 1)",
-    "outlook_pick": f"""with {OUT}, d as (select decision_at::date as day, round(base_rate - 0.25, 9) as edge, event_id from br where base_rate is not null),
-      b as (select * from d qualify row_number() over (partition by day order by edge desc, event_id desc) = 1) select day, case when edge >= 0.1 then event_id else 'NONE' end as pick, edge from b""",
-    "kth_outcome": f"with {OUT} select event_id, min(t) as first_known, max(case when seq = {LEAST} then t end) as ready_at, count(*) as n from oc group by event_id",
-    "publication_decision": f"""with {OUT} select prediction_id, case when event_status = 'UNOBSERVABLE' then 'UNOBSERVABLE' when event_status = 'NOT_APPLICABLE' then 'NOT_APPLICABLE'
-      when n < {LEAST} then 'INSUFFICIENT_HISTORY' else 'BASE_RATE_ONLY' end as decision from led join cnt using (event_id, decision_at)""",
+    "outlook_pick": f"""with {MODEL}, d as (select decision_at::date as day, round(m60.p - br.base_rate, 9) as edge, event_id, list_position({list(EVENTS)!r}, event_id) as place from br join m60 using (event_id, decision_at) where base_rate is not null),
+      b as (select * from d qualify row_number() over (partition by day order by edge desc, place) = 1) select day, case when edge >= 0.1 then event_id else 'NONE' end as pick, edge from b""",
+    "kth_outcome": f"""with {MODEL}, a as (select event_id, min(t) as first_known, max(case when seq = {LEAST} then t end) as ready_at, count(*) as n from oc group by event_id),
+      f as (select event_id, min(case when n >= {LEAST} then decision_at end) as first_rate, min(case when n >= {LEAST} and calibrated then decision_at end) as first_calibrated from cal group by event_id) select * from a left join f using (event_id)""",
+    "publication_decision": f"""with {VALID} select prediction_id, case when event_status in ('UNOBSERVABLE', 'NOT_APPLICABLE') then event_status when n < {LEAST} then 'INSUFFICIENT_HISTORY' when led.event_id = '{BASE_ONLY[0]}' then 'BASE_RATE_ONLY'
+      when not calibrated then 'IDENTITY_WARMUP' when coalesce(accepted, false) then 'CALIBRATED_MODEL' else 'BASE_RATE_ONLY' end as decision from led join cal using (event_id, decision_at) left join (select event_id, year, accepted from va) v on v.event_id = led.event_id and v.year = year(led.decision_at)""",
     "due_outcomes": f"""with {L} select event_id, case when event_status <> 'ELIGIBLE' then 'OUT_OF_SCOPE' when outcome_available_at <= timestamp '{AS_OF}' and label is not null then 'RESOLVED'
       when outcome_available_at <= timestamp '{AS_OF}' then 'GAP' else 'PENDING' end as status, count(*) as n from led where decision_at <= timestamp '{AS_OF}' group by all""",
     "ledger_truth_audit": f"""with {L}, v(gate, violations) as (

@@ -6,6 +6,8 @@ date, the seven tenors are line numbers with the average price of three days, sp
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,16 @@ from ..operators import audit, state
 from ..operators.curve import curve_table
 from ..operators.events import spell_age
 from ..operators.windows import along, midrank_percentiles, trailing
-from ..session import table
+from ..session import shared_dir, table
 
 WINDOW, LEAST = 756, 504
 M2 = (1000, 1060)  # sessions whose data were made by another method
+CUT = "1999-06-30"
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(market, session_date, idx, decision_at, method, levels and curve facts) per session, missing ones null."""
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("d"), F.col("l_linenumber").cast("int").alias("place"))
+def market(spark: SparkSession, sf_dir: str, cut: str | None = None) -> DataFrame:
+    """(market, session_date, idx, decision_at, method, levels and curve facts) per session, missing ones null; `cut` leaves out what came later."""
+    lines = _until(table(spark, sf_dir, "lineitem"), "l_shipdate", cut).groupBy(F.to_date("l_shipdate").alias("d"), F.col("l_linenumber").cast("int").alias("place"))
     cells = lines.agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("c"), F.count("*").alias("n"))
     days = cells.select(F.col("d").alias("session_date")).distinct()
     days = days.select("session_date", F.row_number().over(along([], ["session_date"])).alias("idx"))  # a calendar of a few thousand days
@@ -36,7 +39,7 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = curve_table(near)
     ends = near.groupBy("session_date").agg(F.max(F.when(F.col("place") == 1, F.col("settle"))).alias("f1"), F.max(F.when(F.col("place") == 2, F.col("settle"))).alias("f2"))
     price, even = F.round(F.col("o_totalprice") * 100).cast("bigint"), F.col("o_orderkey") % 2 == 0
-    spot = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("session_date")).agg(
+    spot = _until(table(spark, sf_dir, "orders"), "o_orderdate", cut).groupBy(F.to_date("o_orderdate").alias("session_date")).agg(
         (F.sum(price) / F.count("*") / 100).alias("vix"), (F.sum(F.when(even, price)) / F.count(F.when(even, 1)) / 100).alias("vix9d"),
         (F.max(price) / 100).alias("vvix"), (F.min(price) / 100).alias("skew"),
     )
@@ -54,19 +57,19 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked(spark: SparkSession, sf_dir: str, cut: str | None = None) -> DataFrame:
     """All percentiles come from one pass over the same cells."""
-    rows = state.with_changes(market(spark, sf_dir), "market", "idx")
+    rows = state.with_changes(market(spark, sf_dir, cut), "market", "idx")
     ranks = midrank_percentiles(rows, "market", "idx", state.RANKED, "method", WINDOW, LEAST, position="idx")
     return rows.join(ranks, ["market", "idx"])
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.with_scores(ranked(spark, sf_dir), "market", "idx")
+def scored(spark: SparkSession, sf_dir: str, cut: str | None = None) -> DataFrame:
+    return state.with_scores(ranked(spark, sf_dir, cut), "market", "idx")
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.with_answers(state.with_predicates(scored(spark, sf_dir), "market", "idx"))
+def states(spark: SparkSession, sf_dir: str, cut: str | None = None) -> DataFrame:
+    return state.with_answers(state.with_predicates(scored(spark, sf_dir, cut), "market", "idx"))
 
 
 def axis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +132,31 @@ def component_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("place", place).where(F.col("place") <= F.when(F.col("side") == "COUNTER", 2).otherwise(3)).select("session_date", "side", "place", "axis", "component", "contribution")
 
 
+def _until(df: DataFrame, day: str, cut: str | None) -> DataFrame:
+    return df if cut is None else df.where(F.to_date(day) <= F.lit(cut).cast("date"))
+
+
+def append_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuild from the sessions up to a day must give what the full history gives for them: percentiles, scores and answers,
+    and the labels that were resolved by then. Counts compared rows and those that differ."""
+    last = F.lit(CUT).cast("date")
+    shared_dir(spark)
+    full, part = states(spark, sf_dir).checkpoint(), states(spark, sf_dir, CUT).checkpoint()  # each is read twice
+    seen = ["idx", *[F.round(f"p_{c}", 9).alias(f"p_{c}") for c in state.RANKED], *[F.round(c, 9).alias(c) for c in state.AXES], *state.ANSWERS, "raw_phase", "published_status"]
+    resolved = F.coalesce(F.col("valid_through") <= last, F.lit(False))
+    led = lambda df: state.event_ledger(df, "market", "idx", "session_date", "decision_at").where(resolved).select("idx", "event_id", "label", "label_status", "first_hit")
+    out = None
+    for name, a, b in (("states", full.where(F.col("session_date") <= last).select(*seen), part.select(*seen)), ("labels", led(full), led(part))):
+        rows = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(-1)))
+        same = rows.groupBy(*[c for c in rows.columns if c != "side"]).agg(F.sum("side").alias("balance"), F.count("*").alias("n"))
+        one = same.agg(F.lit(name).alias("what"), F.sum("n").alias("compared"), F.coalesce(F.sum(F.abs("balance")), F.lit(0)).alias("differing"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("what", F.coalesce("compared", F.lit(0)).alias("compared"), "differing")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (axis_scores, scaled_predictors, state_predicates, predicate_evidence, axis_answers, target_ledger_build, carry_spells, component_evidence)
+    for f in (append_invariance, axis_scores, scaled_predictors, state_predicates, predicate_evidence, axis_answers, target_ledger_build, carry_spells, component_evidence)
 }
 
 _RANKED = ", ".join(
@@ -232,8 +257,27 @@ _SIDES = " union all ".join(
     for axis, parts in state.AXES.items() for c, w in parts
 )
 _WITH = f"with {_MARKET}"
+
+
+def _prefix(sql: str) -> str:
+    """The same steps over the tables up to the cut, under other names."""
+    steps = set(re.findall(r"(?:^|,\n?\s*)(\w+) as \(", sql))
+    renamed = re.sub(r"\b(\w+)\b", lambda m: f"x_{m[1]}" if m[1] in steps else m[1], sql)
+    return renamed.replace("from lineitem", f"from (select * from lineitem where l_shipdate::date <= date '{CUT}')").replace("from orders", f"from (select * from orders where o_orderdate::date <= date '{CUT}')")
+
+
+def _compared(what: str, rows: str) -> str:
+    other = re.sub(r"from (an|le)\b", r"from x_\1", rows)
+    return f"""select '{what}' as what, ((select count(*) from ({rows})) + (select count(*) from ({other})))::bigint as compared,
+      ((select count(*) from ({rows} except all {other})) + (select count(*) from ({other} except all {rows})))::bigint as differing"""
+
+
 _ALL = f"{_WITH}, {_STATES}, {_ANSWERS}"
+_SEEN = f"""select idx, {', '.join(f'round(p_{c}, 9)' for c in state.RANKED)}, {', '.join(f'round({c}, 9)' for c in state.AXES)}, {', '.join(f"case when published_status = 'OK' then {c} end" for c in ('ca', 'sa', 'ta', 'pa', 'ra'))},
+  raw_phase, published_status from an where session_date <= date '{CUT}'"""
+_SEEN_LABELS = f"select idx, event_id, label, label_status, first_hit from le where valid_through <= date '{CUT}'"
 ORACLE = {
+    "append_invariance": f"{_ALL}, {_LEDGER}, {_prefix(f'{_MARKET}, {_STATES}, {_ANSWERS}, {_LEDGER}')} {_compared('states', _SEEN)} union all {_compared('labels', _SEEN_LABELS)}",
     "axis_scores": f"{_WITH} select session_date, {', '.join(f'round({c}, 6) as {c}' for c in (*state.AXES, 'base', 'd5_base'))}, confirmations, hard_acute, status, compensation from sc",
     "scaled_predictors": f"""{_WITH} select session_date, {', '.join(f'case when {c} is not null then round(least(greatest({c} / 100, 0.0), 1.0), 8) end as {c}' for c in state.AXES)},
       case when d5_base is not null then round(least(greatest((d5_base + 100) / 200, 0.0), 1.0), 8) end as change, round(confirmations / 3, 8) as confirmed from sc""",

@@ -161,21 +161,12 @@ def settlement_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap_back(rows, "rule_day", table(spark, sf_dir, "exchange_sessions"), "settlement")
 
 
-def append_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rebuilding from a prefix must give the prefix of the full history: violations either way, always 0."""
-    rows, days = table(spark, sf_dir, "observations"), table(spark, sf_dir, "exchange_sessions")
-    cut = F.col("session_date") <= F.lit("2018-06-30").cast("date")
-    full, prefix = pit.known_at_decision(rows, days).where(cut), pit.known_at_decision(rows.where(cut), days.where(cut))
-    gone, new = full.exceptAll(prefix).agg(F.count("*").alias("lost")), prefix.exceptAll(full).agg(F.count("*").alias("gained"))
-    return gone.withColumn("one", F.lit(1)).join(new.withColumn("one", F.lit(1)), "one").select("lost", "gained")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         pit_latest_revision, asof_snapshot, revision_merge, identity_admission, vintage_summary, vintage_lattice, methodology_signature, wide_pivot,
         calendar_gap_fill, latest_complete_session, freshness_status, regime_runs, running_weakest_vintage, duplicate_key_audit, set_ops_sessions,
-        content_digests, semantic_fingerprints, decision_times, settlement_rule, append_invariance,
+        content_digests, semantic_fingerprints, decision_times, settlement_rule,
     )
 }
 
@@ -251,5 +242,4 @@ ORACLE = {
       d as (select y, m, make_date(y, m, 1) as a, (make_date(y, m, 1) + interval 1 month)::date as b from m),
       t as (select y, m, a + ((5 - dayofweek(a) + 7) % 7 + 14)::int as third_friday, b + ((5 - dayofweek(b) + 7) % 7 + 14)::int - 30 as rule_day from d)
       select y, m, third_friday, rule_day, (select max(session_date) from exchange_sessions s where s.session_date <= t.rule_day and s.session_date >= t.rule_day - 9) as settlement from t""",
-    "append_invariance": "select 0::bigint as lost, 0::bigint as gained",
 }

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vintage
-from ..functions.identity import frame_digest
 from ..functions.scalars import ratio
 from ..operators import audit, backtest, events, pit
+from ..operators.asof import attributes_as_of
 from ..operators.windows import along, filled
 from ..session import real, table
-from .audit_queries import AS_OF, CL, L, PX, _probe, _returns, _rises, ledger
+from .audit_queries import AS_OF, CL, L, OUT, PX, _probe, _returns, _rises, causal_cohort_counts, ledger
 from .feature_queries import CURVE, S, T, _brackets, _curve, _nearest, _states, state_frame
 from .pit_queries import B, BASE, IS, KNOWN, POINT, R, V, readings
 
@@ -218,30 +218,53 @@ def extended_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a stored history is good for: the same digest is a hit, the same on the stored part an append, else a rebuild."""
+    """What a stored history is good for, from one pass over the present one: a forced or missing or unreadable store is rebuilt, the same digest is a
+    hit, the same on the stored part an append, a longer store means that history was cut, else it has changed.
+
+    Digests are sums of row hashes, so each scenario's store and the present history are conditional sums of the same scan.
+    """
     rows = readings(spark, sf_dir)
+    early = F.col("session_date") <= F.lit(SPLIT_DAY).cast("date")
     cols = ["series_id", "session_date", "value"]
-    cut = F.col("session_date") <= F.lit(SPLIT_DAY).cast("date")
-    stored = {"same": rows, "shorter": rows.where(cut), "altered": rows.where(cut).withColumn("value", F.col("value") + 1), "longer": rows.unionByName(spark.range(1).select(F.lit("another").alias("series_id"), F.lit(SPLIT_DAY).cast("date").alias("session_date"), F.lit(1.0).alias("value")))}
-    now, part = frame_digest(rows, cols), frame_digest(rows.where(cut), cols)
-    out = []
-    for name, df in stored.items():
-        held = frame_digest(df, cols).select(F.col("digest").alias("held"), F.col("n_rows").alias("n_held"), F.lit(1).alias("one"))
-        one = held.join(now.select(F.col("digest").alias("now"), F.col("n_rows").alias("n_now"), F.lit(1).alias("one")), "one").join(part.select(F.col("digest").alias("part"), F.lit(1).alias("one")), "one")
-        kind = F.when(F.col("held") == F.col("now"), "EXACT_CACHE_HIT").when(F.col("n_held") > F.col("n_now"), "FULL_REBUILD_HISTORY_TRUNCATED").when(F.col("held") == F.col("part"), "INCREMENTAL_APPEND").otherwise("FULL_REBUILD_HISTORY_CHANGED")
-        out.append(one.select(F.lit(name).alias("stored"), kind.alias("resolution")))
-    return reduce(DataFrame.unionByName, out)
+    h, other = F.xxhash64(*cols).cast("decimal(38,0)"), F.xxhash64("series_id", "session_date", F.col("value") + 1).cast("decimal(38,0)")
+    facts = rows.agg(
+        F.count("*").alias("n"), F.sum(h).alias("now"), F.count(F.when(early, 1)).alias("n_part"), F.sum(F.when(early, h)).alias("part"),
+        F.sum(F.when(early, F.when(F.col("value") > 100, other).otherwise(h))).alias("changed"), F.count(F.when(early & (F.col("value") > 100), 1)).alias("n_changed"),
+    )
+    nothing, text = F.lit(None).cast("decimal(38,0)"), lambda x: F.lit(x)
+    cases = [  # name, forced, rows held (null: no store), digest held (null: unreadable)
+        ("same", False, F.col("n"), F.col("now")), ("shorter", False, F.col("n_part"), F.col("part")), ("altered", False, F.col("n_part"), F.col("changed")),
+        ("longer", False, F.col("n") + 1, F.col("now") + 1), ("forced", True, F.col("n"), F.col("now")), ("missing", False, F.lit(None).cast("bigint"), nothing), ("unreadable", False, F.col("n"), nothing),
+    ]
+    stores = F.array(*[F.struct(text(n).alias("stored"), text(f).alias("forced"), k.cast("bigint").alias("n_held"), d.cast("decimal(38,0)").alias("held")) for n, f, k, d in cases])
+    kind = (
+        F.when(F.col("forced"), "FULL_REBUILD_FORCED").when(F.col("n_held").isNull(), "FULL_REBUILD_MISSING_CACHE").when(F.col("held").isNull(), "FULL_REBUILD_INVALID_CACHE")
+        .when(F.col("held") == F.col("now"), "EXACT_CACHE_HIT").when(F.col("n_held") > F.col("n"), "FULL_REBUILD_HISTORY_TRUNCATED")
+        .when((F.col("n_held") == F.col("n_part")) & (F.col("held") == F.col("part")), "INCREMENTAL_APPEND").otherwise("FULL_REBUILD_HISTORY_CHANGED")
+    )
+    return facts.withColumn("s", F.explode(stores)).select("*", "s.*").select("stored", kind.alias("resolution"), "n_held")
 
 
 def causality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates that no future information reaches the past; each counts its violations."""
+    """Gates that no future information reaches the past. Each choice is made a second time by other means and compared; violations are rows that differ."""
     days = table(spark, sf_dir, "exchange_sessions").select("session_date", "decision_at")
-    chosen = pit.known_at_decision(table(spark, sf_dir, "observations"), days).join(F.broadcast(days), "session_date")
-    rates = events.causal_base_rate(ledger(spark, sf_dir), "event_id", "prediction_id", "decision_at", "outcome_available_at", "label", minimum=1)
+    rows = table(spark, sf_dir, "observations").where(vintage.is_formal(F.col("vintage_kind")))
+    chosen = pit.known_at_decision(table(spark, sf_dir, "observations"), days).select("series_id", "session_date", "revision_id")
+    points = rows.select("series_id", "session_date").distinct().join(days, "session_date").withColumn("ask", F.concat_ws("|", "series_id", "session_date"))
+    again = attributes_as_of(points, rows, "ask", "series_id", "session_date", "decision_at").where("revision_id is not null").select("series_id", "session_date", "revision_id")
+    both = chosen.join(again.withColumnRenamed("revision_id", "other"), ["series_id", "session_date"], "full_outer")
+
+    led = ledger(spark, sf_dir).where("event_id is not null")
+    asks = led.where("decision_at is not null").select("event_id", F.col("decision_at").alias("t"), F.lit(0).alias("known"), F.lit(1).alias("ask"))
+    outs = led.where("label is not null and outcome_available_at is not null").select("event_id", F.col("outcome_available_at").alias("t"), F.lit(1).alias("known"), F.lit(0).alias("ask"))
+    w = Window.partitionBy("event_id").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = asks.unionByName(outs).groupBy("event_id", "t").agg(F.sum("known").alias("known"), F.max("ask").alias("ask")).withColumn("n2", F.sum("known").over(w)).where("ask = 1")
+    cohort = causal_cohort_counts(spark, sf_dir).withColumnRenamed("decision_at", "t").join(counted.select("event_id", "t", "n2"), ["event_id", "t"], "full_outer")
+    early = led.where("outcome_available_at <= decision_at and label is not null")
     gates = [
-        ("chosen revisions were known", chosen.where("available_at > decision_at")),
-        ("one revision a point", chosen.groupBy(*POINT).count().where("count > 1")),
-        ("rates stay inside", rates.where("base_rate <= 0 or base_rate >= 1 or positive > n")),
+        ("revisions chosen twice", both.where("not (revision_id <=> other)")),
+        ("cohorts counted twice", cohort.where("not (n <=> n2)")),
+        ("outcomes after their decision", early),
         ("sessions follow each other", days.groupBy("session_date").count().where("count > 1")),
     ]
     return reduce(DataFrame.unionByName, [audit.gate(n, v) for n, v in gates])
@@ -323,8 +346,23 @@ ORACLE = {
     "daily_attribution": f"with {BOTH} select ticker, session_date, round(coalesce((bn - an) - lag(bn - an) over (partition by ticker order by session_date), bn - an), 4) as change from bo",
     "extended_ledger": f"""with {L} select count(*) filter (decision_at <= timestamp '{AS_OF}') as kept, count(*) filter (decision_at <= timestamp '{AS_OF}' and label is not null and not coalesce(outcome_available_at <= timestamp '{AS_OF}', false)) as refreshed,
       count(*) filter (decision_at > timestamp '{AS_OF}' or decision_at is null) as added, 0::bigint as lost from led""",
-    "cache_resolution": "select * from (values ('same', 'EXACT_CACHE_HIT'), ('shorter', 'INCREMENTAL_APPEND'), ('altered', 'FULL_REBUILD_HISTORY_CHANGED'), ('longer', 'FULL_REBUILD_HISTORY_TRUNCATED')) as t(stored, resolution)",
-    "causality_gates": """select * from (values ('chosen revisions were known', 0::bigint, true), ('one revision a point', 0::bigint, true), ('rates stay inside', 0::bigint, true), ('sessions follow each other', 0::bigint, true)) as t(gate, violations, passed)""",
+    "cache_resolution": f"""with {R}, f as (select count(*) as n, count(*) filter (session_date <= date '{SPLIT_DAY}') as p, count(*) filter (session_date <= date '{SPLIT_DAY}' and value > 100) as c,
+        count(*) filter (session_date > date '{SPLIT_DAY}') as later from r)
+      select 'same' as stored, 'EXACT_CACHE_HIT' as resolution, n as n_held from f union all select 'shorter', case when later = 0 then 'EXACT_CACHE_HIT' else 'INCREMENTAL_APPEND' end, p from f
+      union all select 'altered', case when c > 0 then 'FULL_REBUILD_HISTORY_CHANGED' when later = 0 then 'EXACT_CACHE_HIT' else 'INCREMENTAL_APPEND' end, p from f
+      union all select 'longer', 'FULL_REBUILD_HISTORY_TRUNCATED', n + 1 from f union all select 'forced', 'FULL_REBUILD_FORCED', n from f union all select 'missing', 'FULL_REBUILD_MISSING_CACHE', null from f
+      union all select 'unreadable', 'FULL_REBUILD_INVALID_CACHE', n from f""",
+    "causality_gates": f"""with {OUT}, k as ({KNOWN}),
+      o as (select series_id, session_date, arg_max(revision_id, (available_at, ingested_at, revision_id)) as other from observations join exchange_sessions using (session_date)
+        where available_at <= decision_at and vintage_kind in ('OBSERVED_PIT', 'ASSUMED_PIT') group by all),
+      e as (select event_id, t, sum(y) over (partition by event_id order by t range between unbounded preceding and current row) as n2, ask from (
+        select event_id, t, sum(y) as y, max(ask) as ask from (select event_id, t, 1 as y, 0 as ask from oc where event_id is not null union all select event_id, decision_at, 0, 1 from ask) group by all)),
+      v(gate, violations) as (
+        select 'revisions chosen twice', count(*) from k full join o using (series_id, session_date) where revision_id is distinct from other
+        union all select 'cohorts counted twice', count(*) from cnt full join (select * from e where ask = 1) e on e.event_id = cnt.event_id and e.t = cnt.decision_at where n is distinct from n2
+        union all select 'outcomes after their decision', count(*) from led where outcome_available_at <= decision_at and label is not null and event_id is not null
+        union all select 'sessions follow each other', count(*) from (select session_date from exchange_sessions group by 1 having count(*) > 1))
+      select gate, violations, violations = 0 as passed from v""",
     "one_to_one_joins": f"""with {R}, {L}, a as (select series_id, prediction_date as session_date, count(*) as a from led group by all)
       select count(*) filter (a > 1) as left_repeats, 0::bigint as right_repeats, count(r.session_date) as matched, count(*) filter (r.session_date is null) as unmatched from a left join r using (series_id, session_date)""",
 }
