@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import folds
 from tidemark.sources import files, store
@@ -66,7 +67,13 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
     path = str(tmp_path / "t")
     assert store.write_if_changed(df, path) and not store.write_if_changed(df.orderBy("y"), path)
-    assert store.write_if_changed(df.limit(1), path) and spark.read.parquet(path).count() == 1
+    assert store.write_if_changed(df.limit(1), path) and store.read_table(spark, path).count() == 1
+    held = store.current_generation(spark, path)
+    with pytest.raises(Exception):  # a write that fails leaves the table as it was
+        store.write_table(df.select(F.raise_error(F.lit("no")).alias("x")), path)
+    assert store.current_generation(spark, path) == held and store.read_table(spark, path).count() == 1
+    store.write_table(df, path)
+    assert store.read_table(spark, path).count() == 2 and spark.read.parquet(held).count() == 1  # whoever still reads the generation before can finish
     doc = str(tmp_path / "d.json")
     store.write_document({"b": float("nan"), "a": dt.date(2025, 1, 2)}, doc)
     assert json.loads(open(doc).read()) == {"a": "2025-01-02", "b": None}
@@ -103,6 +110,8 @@ def test_stream_ingest_and_windows(spark, tmp_path):
     rows = [("a", dt.datetime(2025, 1, 1, 0, 10), 1.0), ("a", dt.datetime(2025, 1, 1, 0, 10), 1.0), ("b", dt.datetime(2025, 1, 1, 1, 10), 3.0)]
     spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, ts timestamp_ntz, v double").parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError):
+        live.ingest(stream.withColumn("revision_id", F.col("k")), str(tmp_path / "out"), str(tmp_path / "cp"), ["k", "ts"], "ts")
     live.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["k", "ts"], "ts").awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     query = live.windowed_counts(stream, "ts", "k", "v").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()

@@ -30,7 +30,10 @@ def rule_settlement(year: Column, month: Column) -> Column:
 
 
 def snap_back(df: DataFrame, day: str, sessions: DataFrame, out: str) -> DataFrame:
-    """Adds `out`: the session on or before `day`, looked up among the nine days that end there."""
-    span = sessions.select(F.col("session_date").alias("__s"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("__n"))
-    near = span.select(F.date_add("__s", F.col("__n")).alias("__d"), "__s").groupBy("__d").agg(F.max("__s").alias(out))
-    return df.join(F.broadcast(near), F.col(day) == F.col("__d"), "left").drop("__d")  # ten rows a session of the calendar
+    """Adds `out`: the last session on or before `day`, however long the closure; null before the first. Distinct days and sessions are
+    merged along time, which are rows of the calendar, and joined back by the day."""
+    asked = df.select(F.col(day).alias("__d")).where("__d is not null").distinct().withColumn("__s", F.lit(None).cast("date"))
+    line = asked.unionByName(sessions.select(F.col("session_date").alias("__d"), F.col("session_date").alias("__s")))
+    so_far = Window.orderBy("__d", F.col("__s").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    near = line.withColumn(out, F.last("__s", ignorenulls=True).over(so_far)).where("__s is null").select("__d", out)
+    return df.join(near, F.col(day) == F.col("__d"), "left").drop("__d")

@@ -12,7 +12,7 @@ def canonical(df: DataFrame, name: str) -> Column:
     """The column as text that loses nothing; null has a token of its own, NaN counts as null."""
     kind, col = df.schema[name].dataType.simpleString(), F.col(name)
     if kind in ("double", "float"):
-        text = F.when(~F.isnan(col), F.format_string("%.17g", col.cast("double")))
+        text = F.when(col.isNotNull() & ~F.isnan(col), F.format_string("%.17g", col.cast("double")))
     elif kind.startswith("timestamp"):
         text = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     else:

@@ -22,7 +22,7 @@ def nearest_contracts(contracts: DataFrame, sessions: DataFrame, n: int = SIZE)
     Unexpired at 15:00 Chicago of the session and with a settlement; of contracts that settle at the same
     moment the greatest id holds. Adds `place` from 1 and `days` to settlement.
     """
-    rows = contracts.join(F.broadcast(sessions.select("session_date", "decision_at")), "session_date")
+    rows = contracts.join(sessions.select("session_date", "decision_at"), "session_date")
     rows = rows.where((F.col("available_at") <= F.col("decision_at")) & F.coalesce(F.col("is_standard_monthly"), F.lit(False)))
     payload = ["revision_id", "contract_year", "contract_month", "settle", "vintage_kind"]
     rows = latest_row(rows, ["series_id", "session_date", "final_settlement_timestamp", "contract_id"], ["available_at", "ingested_at", "revision_id"], payload)

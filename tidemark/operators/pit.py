@@ -26,7 +26,7 @@ def known_at_decision(observations: DataFrame, sessions: DataFrame, formal_only:
     Rows of days that are no sessions, or that became known later, are out."""
     calendar = sessions.select("session_date", "decision_at")
     rows = observations.where(is_formal(F.col("vintage_kind"))) if formal_only else observations
-    rows = rows.join(F.broadcast(calendar), "session_date").where(F.col("available_at") <= F.col("decision_at"))
+    rows = rows.join(calendar, "session_date").where(F.col("available_at") <= F.col("decision_at"))
     rows = rows.withColumn("value", real(F.col("value")))
     return latest_row(rows, ["series_id", "session_date"], ["available_at", "ingested_at", "revision_id"], ["revision_id", "value", "available_at"])
 

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import capped_log_age, log_ratio
+from ..functions.scalars import capped_log_age, forward_variance, forward_volatility, log_ratio, ratio
 from ..operators import audit, state
 from ..operators.curve import curve_table
 from ..operators.events import spell_age
@@ -21,6 +21,7 @@ from ..session import shared_dir, table
 WINDOW, LEAST = 756, 504
 M2 = (1000, 1060)  # sessions whose data were made by another method
 CUT = "1999-06-30"
+IV_DAYS = (9, 30, 93, 184)
 
 
 def market(spark: SparkSession, sf_dir: str, cut: str | None = None) -> DataFrame:
@@ -132,6 +133,26 @@ def component_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("place", place).where(F.col("place") <= F.when(F.col("side") == "COUNTER", 2).otherwise(3)).select("session_date", "side", "place", "axis", "component", "contribution")
 
 
+def iv_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatilities of 9, 30, 93 and 184 days: ratios and log ratios of neighbours at both ends, forward variances and volatilities between all."""
+    rows = market(spark, sf_dir)
+    iv = [F.col(c) / 10_000 for c in ("vix9d", "vix", "vvix", "skew")]
+    out = rows.select("session_date", F.round(ratio(iv[0], iv[1]), 7).alias("near_ratio"), F.round(ratio(iv[2], iv[3]), 7).alias("far_ratio"), F.round(log_ratio(iv[0], iv[1]), 7).alias("near_log"), F.round(log_ratio(iv[2], iv[3]), 7).alias("far_log"), *[
+        forward_variance(iv[i], F.lit(float(IV_DAYS[i])), iv[i + 1], F.lit(float(IV_DAYS[i + 1]))).alias(f"v{i + 1}") for i in range(3)
+    ])
+    return out.select("session_date", "near_ratio", "far_ratio", "near_log", "far_log", *[F.round(f"v{i}", 7).alias(f"fvar{i}") for i in (1, 2, 3)], *[F.round(forward_volatility(F.col(f"v{i}")), 7).alias(f"fvol{i}") for i in (1, 2, 3)])
+
+
+def lagged_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-valued windows over days of inversion: any of the ten before, however many there are, and three of the last five, all of which must be there."""
+    w = along(["market"], ["idx"])
+    day = (F.col("slope") < 0).cast("int")
+    rows = market(spark, sf_dir)
+    prior = F.coalesce(F.max(day).over(w.rowsBetween(-10, -1)) == 1, F.lit(False))
+    five = F.when(F.count(day).over(trailing(w, 5)) == 5, F.sum(day).over(trailing(w, 5)) >= 3)
+    return rows.select("session_date", prior.alias("any_prior"), five.alias("three_of_five"))
+
+
 def _until(df: DataFrame, day: str, cut: str | None) -> DataFrame:
     return df if cut is None else df.where(F.to_date(day) <= F.lit(cut).cast("date"))
 
@@ -156,7 +177,7 @@ def append_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (append_invariance, axis_scores, scaled_predictors, state_predicates, predicate_evidence, axis_answers, target_ledger_build, carry_spells, component_evidence)
+    for f in (append_invariance, iv_curve, lagged_flags, axis_scores, scaled_predictors, state_predicates, predicate_evidence, axis_answers, target_ledger_build, carry_spells, component_evidence)
 }
 
 _RANKED = ", ".join(
@@ -278,6 +299,12 @@ _SEEN = f"""select idx, {', '.join(f'round(p_{c}, 9)' for c in state.RANKED)}, {
 _SEEN_LABELS = f"select idx, event_id, label, label_status, first_hit from le where valid_through <= date '{CUT}'"
 ORACLE = {
     "append_invariance": f"{_ALL}, {_LEDGER}, {_prefix(f'{_MARKET}, {_STATES}, {_ANSWERS}, {_LEDGER}')} {_compared('states', _SEEN)} union all {_compared('labels', _SEEN_LABELS)}",
+    "iv_curve": f"""{_WITH}, i as (select session_date, vix9d / 10000 as a, vix / 10000 as b, vvix / 10000 as c, skew / 10000 as d from m0),
+      v as (select *, {", ".join(f"({IV_DAYS[k + 1]} / 365 * pow({y} / 100, 2) - {IV_DAYS[k]} / 365 * pow({x} / 100, 2)) / ({IV_DAYS[k + 1]} / 365 - {IV_DAYS[k]} / 365) as v{k + 1}" for k, (x, y) in enumerate(("ab", "bc", "cd")))} from i)
+      select session_date, case when b <> 0 then round(a / b, 7) end as near_ratio, case when d <> 0 then round(c / d, 7) end as far_ratio, case when a > 0 and b > 0 then round(ln(a / b), 7) end as near_log,
+        case when c > 0 and d > 0 then round(ln(c / d), 7) end as far_log, {", ".join(f"round(v{k}, 7) as fvar{k}" for k in (1, 2, 3))}, {", ".join(f"case when v{k} >= 0 then round(sqrt(v{k}) * 100, 7) end as fvol{k}" for k in (1, 2, 3))} from v""",
+    "lagged_flags": f"""{_WITH} select session_date, coalesce(bool_or(slope < 0) over a, false) as any_prior, case when count(slope) over b = 5 then sum((slope < 0)::int) over b >= 3 end as three_of_five
+      from m0 window a as (order by idx rows between 10 preceding and 1 preceding), b as (order by idx rows between 4 preceding and current row)""",
     "axis_scores": f"{_WITH} select session_date, {', '.join(f'round({c}, 6) as {c}' for c in (*state.AXES, 'base', 'd5_base'))}, confirmations, hard_acute, status, compensation from sc",
     "scaled_predictors": f"""{_WITH} select session_date, {', '.join(f'case when {c} is not null then round(least(greatest({c} / 100, 0.0), 1.0), 8) end as {c}' for c in state.AXES)},
       case when d5_base is not null then round(least(greatest((d5_base + 100) / 200, 0.0), 1.0), 8) end as change, round(confirmations / 3, 8) as confirmed from sc""",

@@ -78,16 +78,17 @@ def methodology_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readings(spark, sf_dir).where(F.col("series_id").rlike(BASE))
     keyed = rows.select(F.regexp_replace("series_id", BASE, "").alias("symbol"), "session_date", F.lower(F.regexp_extract("series_id", BASE, 1)).alias("part"), "value")
-    return keyed.groupBy("symbol", "session_date").pivot("part", ["open", "high", "low", "close"]).agg(F.max("value"))
+    one = F.when(F.count("value") <= 1, F.max("value")).otherwise(F.raise_error(F.lit("more than one reading for a symbol, session and part")).cast("double"))
+    return keyed.groupBy("symbol", "session_date").pivot("part", ["open", "high", "low", "close"]).agg(one)
 
 
 def on_calendar(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Readings on the sessions from each series' first to its last; gaps are null rows. The calendar is a dimension
     of a few thousand rows at every scale."""
     days = indexed_sessions(table(spark, sf_dir, "exchange_sessions"))
-    data = (rows if rows is not None else readings(spark, sf_dir)).join(F.broadcast(days.select("session_date", "idx")), "session_date")
+    data = (rows if rows is not None else readings(spark, sf_dir)).join(days.select("session_date", "idx"), "session_date")
     spine = data.groupBy("series_id").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).select("series_id", F.explode(F.sequence("lo", "hi")).alias("idx"))
-    spine = spine.join(F.broadcast(days.select("session_date", "idx")), "idx")
+    spine = spine.join(days.select("session_date", "idx"), "idx")
     return spine.join(data.select("series_id", "idx", "value"), ["series_id", "idx"], "left").select("series_id", "session_date", "idx", "value")
 
 
@@ -178,6 +179,8 @@ CAL = """cal as (select session_date, row_number() over (order by session_date):
 g0 as (select r.series_id, cal.idx, r.value from r join cal using (session_date)),
 g1 as (select series_id, unnest(generate_series(min(idx), max(idx)))::int as idx from g0 group by series_id),
 g as (select g1.series_id, cal.session_date, g1.idx, g0.value from g1 join cal using (idx) left join g0 on g0.series_id = g1.series_id and g0.idx = g1.idx)"""
+# the shortest text of a double, filled up to 17 significant digits
+DIGITS = f"rpad(({V})::varchar, 18 + (value < 0)::int + case when value = 0 or abs(value) >= 1 then 0 else -floor(log10(abs(value)))::int end, '0')"
 RANK = "case vintage_kind when 'OBSERVED_PIT' then 2 when 'ASSUMED_PIT' then 1 when 'PROVIDER_BACKTESTED' then 0 end"
 KNOWN = f"""select series_id, session_date, revision_id, {V} as value, available_at from (
   select o.*, row_number() over (partition by series_id, session_date order by available_at desc, ingested_at desc, revision_id desc) as rn
@@ -235,11 +238,15 @@ ORACLE = {
     "set_ops_sessions": f"""with {R}, h as (select distinct session_date from r), w as (select session_date from exchange_sessions)
       select 'missing' as kind, count(*) as n from (select * from w except select * from h) union all
       select 'extra', count(*) from (select * from h except select * from w) union all select 'common', count(*) from (select * from w intersect select * from h)""",
+    "content_digests": f"""with t as (select sha256(concat_ws(chr(1), '=' || series_id, '=' || session_date::varchar, coalesce('=' || {DIGITS}, '~'), {", ".join(f"coalesce('=' || {c}, '~')" for c in ("unit", "source", "source_symbol"))},
+        coalesce('=' || strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f'), '~'), {", ".join(f"coalesce('=' || {c}, '~')" for c in ("methodology_version", "vintage_kind", "revision_id"))})) as h from observations),
+      s as (select count(*) as n_rows, {", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint), 0)::varchar as l{i}" for i in range(4))} from t)
+      select n_rows, sha256(l0 || '-' || l1 || '-' || l2 || '-' || l3) as digest from s""",
     "semantic_fingerprints": f"""select series_id, session_date, count(distinct concat_ws('|', coalesce(({V})::varchar, '~'), coalesce(methodology_version, '~'), coalesce(vintage_kind, '~'))) as n_meanings,
       count(distinct revision_id) as n_revisions from observations group by all""",
     "decision_times": "with c as (select session_date, row_number() over (order by session_date)::int as idx, observed_at, decision_at, lead(session_date) over (order by session_date) as n from exchange_sessions) select session_date, idx, observed_at, decision_at from c where n is not null",
     "settlement_rule": """with m as (select distinct year(session_date)::int as y, month(session_date)::int as m from exchange_sessions),
       d as (select y, m, make_date(y, m, 1) as a, (make_date(y, m, 1) + interval 1 month)::date as b from m),
       t as (select y, m, a + ((5 - dayofweek(a) + 7) % 7 + 14)::int as third_friday, b + ((5 - dayofweek(b) + 7) % 7 + 14)::int - 30 as rule_day from d)
-      select y, m, third_friday, rule_day, (select max(session_date) from exchange_sessions s where s.session_date <= t.rule_day and s.session_date >= t.rule_day - 9) as settlement from t""",
+      select y, m, third_friday, rule_day, (select max(session_date) from exchange_sessions s where s.session_date <= t.rule_day) as settlement from t""",
 }

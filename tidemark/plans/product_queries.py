@@ -120,11 +120,12 @@ def cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timing_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How signals met events: hits, misses, false alarms, the median and 90th percentile of the offset."""
+    """How signals met events: hits, misses, false alarms (signals that no event selected), the median and 90th percentile of the offset."""
     high, rise = _rises(spark, sf_dir)
     met = events.matched_clusters(high, rise, "series_id", 5, 5)
     hits = met.groupBy("series_id").agg(F.count("signal").alias("hits"), F.count(F.when(F.col("signal").isNull(), 1)).alias("misses"), F.percentile(F.col("offset"), F.lit(0.5)).alias("median_offset"), F.percentile(F.col("offset"), F.lit(0.9)).alias("p90_offset"))
-    back = events.matched_clusters(rise, high, "series_id", 5, 5).groupBy("series_id").agg(F.count(F.when(F.col("signal").isNull(), 1)).alias("false_alarms"))
+    chosen = met.where("signal is not null").select("series_id", F.col("signal").alias("cluster")).distinct()
+    back = rise.join(chosen, ["series_id", "cluster"], "left_anti").groupBy("series_id").agg(F.count("*").alias("false_alarms"))
     return hits.join(back, "series_id", "left").select("series_id", "hits", "misses", F.coalesce("false_alarms", F.lit(0)).alias("false_alarms"), F.round("median_offset", 6).alias("median_offset"), F.round("p90_offset", 6).alias("p90_offset"))
 
 
@@ -291,8 +292,6 @@ for _n in ("px", "py", "pz", "pt", "pg", "pn", "pd"):
     PQ = PQ.replace(f"{_n} as (", f"q{_n} as (").replace(f"from {_n} ", f"from q{_n} ").replace(f"from {_n})", f"from q{_n})").replace(f"from {_n}\n", f"from q{_n}\n")
 PQ = PQ.replace("from qpy where", "from (select *, up and coalesce(o >= lag(o) over (partition by ticker order by session_date), true) as keeps from qpy where asset_return is not null and up is not null) where")
 BOTH = f"{PX}, {PQ}, bo as (select a.ticker, a.session_date, a.asset as aa, b.asset as ba, a.nav as an, b.nav as bn, a.drawdown as ad, b.drawdown as bd, a.r20 as ar, b.r20 as br from pd a join qpd b using (ticker, session_date))"
-MATCH = """m{0} as (select {1}.series_id, {1}.cluster, {2}.first - {1}.first as off from {1} left join {2} on {2}.series_id = {1}.series_id and {2}.first <= {1}.last + 5 and {2}.last >= {1}.first - 5
-  qualify row_number() over (partition by {1}.series_id, {1}.cluster order by abs({2}.first - {1}.first), {2}.first) = 1)"""
 ORACLE = {
     "usable_start": rf"""with {R}, {CURVE}, y as (select regexp_replace(series_id, '_(OPEN|HIGH|LOW|CLOSE)$', '') as symbol, series_id, session_date from r),
       n as (select symbol, count(distinct series_id) as need from y group by all), d as (select symbol, session_date, count(distinct series_id) as n from y group by all)
@@ -324,8 +323,10 @@ ORACLE = {
       select family, r.series_id, session_date, case when value <> 0 then round(value30 / value - 1, 7) end as basis from v join r using (session_date) where value30 is not null and regexp_matches(r.series_id, '^VIX.*_CLOSE$')""",
     "cluster_edges": f"""{S}, h as (select series_id, idx, coalesce(p_value >= 0.9, false) as high from st),
       e as (select *, high and not coalesce(lag(high) over w, false) as begins, high and not coalesce(lead(high) over w, false) as ends from h window w as (partition by series_id order by idx)) select * from e where begins or ends""",
-    "timing_audit": f"""{CL}, {MATCH.format(1, 'ce', 'cs')}, {MATCH.format(2, 'cs', 'ce')}, h as (select series_id, count(off) as hits, count(*) filter (off is null) as misses, round(quantile_cont(off, 0.5), 6) as median_offset, round(quantile_cont(off, 0.9), 6) as p90_offset from m1 group by all),
-      f as (select series_id, count(*) filter (off is null) as false_alarms from m2 group by all)
+    "timing_audit": f"""{CL}, m1 as (select ce.series_id, ce.cluster, cs.cluster as signal, cs.first - ce.first as off from ce left join cs on cs.series_id = ce.series_id and cs.first <= ce.last + 5 and cs.last >= ce.first - 5
+        qualify row_number() over (partition by ce.series_id, ce.cluster order by abs(cs.first - ce.first), cs.first) = 1),
+      h as (select series_id, count(off) as hits, count(*) filter (off is null) as misses, round(quantile_cont(off, 0.5), 6) as median_offset, round(quantile_cont(off, 0.9), 6) as p90_offset from m1 group by all),
+      f as (select cs.series_id, count(*) as false_alarms from cs where not exists (select 1 from m1 where m1.series_id = cs.series_id and m1.signal = cs.cluster) group by all)
       select h.series_id, hits, misses, coalesce(false_alarms, 0)::bigint as false_alarms, median_offset, p90_offset from h left join f using (series_id)""",
     "contributions": f"""{S}, l as (select *, concat_ws(',', case when shock >= 65 then 'SHOCK_HIGH' end, case when p_d5 <= 0.35 then 'FALLING' end, case when hard_acute then 'ACUTE' end) as triggers from st where shock is not null
         qualify row_number() over (partition by series_id order by idx desc) = 1)

@@ -18,6 +18,7 @@ def build_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -29,9 +30,15 @@ def build_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or what was set by setCheckpointDir. Where neither is, a local
+    session (tests) gets a temporary one; on a cluster that is an error, for a folder of one machine would not do."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get()
+        if not (spark.sparkContext.master or "").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -80,7 +80,7 @@ def read_contract_files(spark: SparkSession, folder: str, sessions: DataFrame) -
     rows = rows.withColumn("final_settlement_date", F.try_to_date(F.regexp_extract("FILE_NAME", r"VX_(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"))
     months = sessions.select(F.year("session_date").alias("contract_year"), F.month("session_date").alias("contract_month")).distinct()
     rules = snap_back(months.withColumn("rule_day", rule_settlement(F.col("contract_year"), F.col("contract_month"))), "rule_day", sessions, "final_settlement_date")
-    rows = rows.join(F.broadcast(rules.select("final_settlement_date", "contract_year", "contract_month")), "final_settlement_date")  # one row a month of the calendar
+    rows = rows.join(rules.select("final_settlement_date", "contract_year", "contract_month"), "final_settlement_date")  # one row a month of the calendar
     made = F.format_string("VX%04d%02d", "contract_year", "contract_month")
     ident = F.coalesce(F.nullif(F.col("FUTURES"), F.lit("")), made) if "FUTURES" in rows.columns else made
     out = rows.select(day(F.col("TRADE DATE")).alias("session_date"), ident.alias("contract_id"), "contract_year", "contract_month", "final_settlement_date", number(F.col("SETTLE")).alias("settle"), "ROW_ORDER")
@@ -113,7 +113,7 @@ def read_chart_json(spark: SparkSession, path: str, ticker: str, zone: str = "Am
 
 def stamped(df: DataFrame, sessions: DataFrame, source: str, symbol: str, ingested_at: str, method: str, unit: str = "index_points") -> DataFrame:
     """Readings as assumed point-in-time observations: known from their session's decision time, identified by content."""
-    rows = df.join(F.broadcast(sessions.select("session_date", "observed_at", F.col("decision_at").alias("available_at"))), "session_date")
+    rows = df.join(sessions.select("session_date", "observed_at", F.col("decision_at").alias("available_at")), "session_date")
     rows = rows.withColumns({
         "unit": F.lit(unit), "source": F.lit(source), "source_symbol": F.lit(symbol), "ingested_at": F.lit(ingested_at).cast("timestamp_ntz"),
         "methodology_version": F.lit(method), "vintage_kind": F.lit("ASSUMED_PIT"),

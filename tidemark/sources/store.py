@@ -7,6 +7,8 @@ import json
 import math
 import os
 import tempfile
+import time
+import uuid
 from pathlib import Path
 from typing import Any
 
@@ -16,28 +18,64 @@ from pyspark.sql import functions as F
 from ..functions.identity import frame_digest
 
 
+#: A table is a folder of generations and a pointer to the current one; the pointer's name hides it from Spark's own reader.
+POINTER, GENERATION = "_current", "generation-"
+
+
 def _fs(spark: SparkSession, path: str):
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Writes beside the target and renames, so a reader sees the old table or the new one."""
+def current_generation(spark: SparkSession, path: str) -> str | None:
+    """The folder that the table's pointer names; null where nothing was published yet."""
+    fs, pointer = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return f"{path}/{spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+    finally:
+        stream.close()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table as last published."""
+    made = current_generation(spark, path)
+    if made is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(made)
+
+
+def write_table(df: DataFrame, path: str) -> str:
+    """Publishes a new generation of the table and returns its folder: the rows go to a folder of their own, then the pointer file is
+    replaced in one atomic rename. Readers see the old generation or the new one, and a crash before the rename
+    leaves the old one in place. The generation before is kept for readers at work, older ones are removed."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.writing")
-    fs, target = _fs(spark, path)
-    _, made = _fs(spark, f"{path}.writing")
-    fs.delete(target, True)
-    if not fs.rename(made, target):
-        raise OSError(f"{path} could not be put in place")
+    before = current_generation(spark, path)
+    name = f"{GENERATION}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{name}")
+    fs, draft = _fs(spark, f"{path}/.{name}.pointer")
+    stream = fs.create(draft, True)
+    stream.write(name.encode())
+    stream.close()
+    jvm = spark.sparkContext._jvm
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    draft, pointer = fs.makeQualified(draft), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, pointer, how)
+    for found in fs.listStatus(pointer.getParent()):
+        folder = found.getPath().getName()
+        if folder.startswith(GENERATION) and folder != name and folder != (before or "").rsplit("/", 1)[-1]:
+            fs.delete(found.getPath(), True)
+    return f"{path}/{name}"
 
 
 def write_if_changed(df: DataFrame, path: str) -> bool:
-    """Writes unless the table at `path` holds the same rows; copies and row order: copies count, order doesn't."""
-    spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    if fs.exists(target):
-        old = spark.read.parquet(path)
+    """Publishes unless the table at `path` holds the same rows; copies count, row order doesn't."""
+    if current_generation(df.sparkSession, path):
+        old = read_table(df.sparkSession, path)
         if old.columns == df.columns and frame_digest(old, old.columns).first() == frame_digest(df, df.columns).first():
             return False
     write_table(df, path)

@@ -12,8 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.folds import Hysteresis
 
 
-def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], known: str = "ingested_at", delay: str = "30 days"):
-    """Appends a stream of deliveries, repeated rows within the watermark dropped; runs what is there and stops."""
+def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], known: str = "ingested_at", delay: str = "30 days", revision: str = "revision_id"):
+    """Appends a stream of deliveries, repeated rows within the watermark dropped; runs what is there and stops.
+
+    `keys` say what a repeat is. They must hold the revision where the stream has one, or a late revision would pass for a repeat."""
+    if revision in stream.columns and revision not in keys:
+        raise ValueError(f"{revision} must be among the keys {keys}")
     rows = stream.withColumn("__event", F.col(known).cast("timestamp")).withWatermark("__event", delay)
     rows = rows.dropDuplicatesWithinWatermark([*keys]).drop("__event")
     return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
